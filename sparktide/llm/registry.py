@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding, warc
+from . import near_dedup, sharding, warc
 
 QUERIES = {
     "op1_lpt_sharding": sharding.op1_lpt_sharding,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op8_warc": warc.op8_warc,
 }
 ORACLES: dict[str, str] = {}
