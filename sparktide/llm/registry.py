@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dedup, sharding, warc
+from . import decontaminate, near_dedup, sharding, warc
 
 QUERIES = {
     "op1_lpt_sharding": sharding.op1_lpt_sharding,
+    "op9_spaced_seed_decontamination": decontaminate.op9_spaced_seed_decontamination,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op8_warc": warc.op8_warc,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_spaced_seed_decontamination": decontaminate.ORACLE,
+}
