@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, sharding, warc
+from . import decontaminate, near_dedup, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_lpt_sharding": sharding.op1_lpt_sharding,
     "op9_spaced_seed_decontamination": decontaminate.op9_spaced_seed_decontamination,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op2_pfp_substring_dedup": substring_dedup.op2_pfp_substring_dedup,
     "op8_warc": warc.op8_warc,
 }
 ORACLES: dict[str, str] = {
