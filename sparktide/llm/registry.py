@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, packing, sharding, substring_dedup, warc
+from . import decontaminate, fingerprints, near_dedup, packing, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_lpt_sharding": sharding.op1_lpt_sharding,
     "op9_spaced_seed_decontamination": decontaminate.op9_spaced_seed_decontamination,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op2_pfp_substring_dedup": substring_dedup.op2_pfp_substring_dedup,
+    "op5_order_minhash": fingerprints.op5_order_minhash,
     "op6_grouping_ga_packing": packing.op6_grouping_ga_packing,
     "op8_warc": warc.op8_warc,
 }
