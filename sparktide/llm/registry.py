@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, near_dedup, packing, sharding, substring_dedup, warc
+from . import decontaminate, fingerprints, near_dedup, packing, quality, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_lpt_sharding": sharding.op1_lpt_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_pfp_substring_dedup": substring_dedup.op2_pfp_substring_dedup,
     "op5_order_minhash": fingerprints.op5_order_minhash,
     "op6_grouping_ga_packing": packing.op6_grouping_ga_packing,
+    "op7_knn_quality": quality.op7_knn_quality,
     "op8_warc": warc.op8_warc,
 }
 ORACLES: dict[str, str] = {
