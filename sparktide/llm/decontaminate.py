@@ -9,7 +9,7 @@ whole item if that is shorter) hold at least ``LEAST`` of ``WINDOW`` equal words
 
 Tokens are runs of letters and digits, lower-cased. The training text is split,
 zipped with itself at the mask's offsets, exploded and hashed within one
-code-generated stage; only hits leave it.
+code-generated stage; only hits leave it. Texts with a hit are then read again.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import read_table
+from ._common import Workspace, read_table
 
 MASKS = ("11011001", "10110101", "11100011")
 SPAN = 8
 WINDOW, LEAST = 13, 10
 #: Benchmark seeds up to this number are broadcast (32 bytes each); beyond it the join is shuffled.
 BROADCAST_SEEDS = 1_000_000
+#: Hits (an alignment of an item with a text, 20 bytes) up to this number are broadcast; beyond it the join is shuffled.
+BROADCAST_HITS = 500_000
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -32,14 +34,13 @@ def tokens(col: str):
 
 
 def seeded(df: DataFrame, *keep: str) -> DataFrame:
-    """A row per place of the array ``t``: ``keep``, t, pos (from 0), hashes (one per mask)."""
-    shifted = F.arrays_zip(*(F.col("t") if k == 0 else F.slice("t", F.lit(k + 1), F.greatest(F.size("t") - k, F.lit(0))) for k in range(SPAN)))
-    names = [f"w{k}" for k in range(SPAN)]
-    kind = "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
-    rows = df.where(F.size("t") >= SPAN).select(*keep, "t", F.posexplode(shifted.cast(kind)).alias("pos", "w"))
-    rows = rows.where(F.col(f"w.w{SPAN - 1}").isNotNull())
-    hashes = (F.xxhash64(F.lit(m), *(F.col(f"w.w{k}") for k in range(SPAN) if mask[k] == "1")) for m, mask in enumerate(MASKS))
-    return rows.select(*keep, "t", "pos", F.array(*hashes).alias("seeds"))
+    """A row per place of the array ``t``: ``keep``, pos (from 0), seeds (one per mask)."""
+    shifted = F.arrays_zip(*(F.col("t") if k == 0 else F.slice("t", F.lit(k + 1), F.greatest(F.size("t") - k, F.lit(0)))for k in range(SPAN)))
+    rows = df.where(F.size("t") >= SPAN).select(*keep, F.posexplode(shifted).alias("pos", "w"))
+    word = lambda k: F.col("w").getField("t" if k == 0 else str(k))  # noqa: E731  # arrays_zip names what has no name by its place
+    rows = rows.where(word(SPAN - 1).isNotNull())
+    hashes = (F.xxhash64(F.lit(m), *(word(k) for k in range(SPAN) if mask[k] == "1")) for m, mask in enumerate(MASKS))
+    return rows.select(*keep, "pos", F.array(*hashes).alias("seeds"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,6 +53,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     are never contaminated. Other columns are ignored; empty tables give an
     empty result.
     """
+    ws = Workspace(docs.sparkSession, "seeds")
     items = benchmark.select(F.col("item_id"), tokens("text").alias("it"))
     places = seeded(items.select("item_id", F.col("it").alias("t")), "item_id")
     seeds = places.select("item_id", F.col("pos").alias("at"), F.explode("seeds").alias("seed")).distinct()
@@ -59,12 +61,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     if (n_seeds or 0) * len(MASKS) <= BROADCAST_SEEDS:
         seeds, items = F.broadcast(seeds), F.broadcast(items)
     train = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("t"))
-    found = seeded(train, "doc_id").select("doc_id", "t", "pos", F.explode("seeds").alias("seed")).join(seeds, "seed").join(items, "item_id")
+    hits = seeded(train, "doc_id").select("doc_id", "pos", F.explode("seeds").alias("seed")).join(seeds, "seed")
+    hits = ws.table(hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "hits")
+    # Only texts with a hit are looked at again.
+    hit = hits.select(F.col("doc_id").alias("hit_id"), "item_id", "shift")
+    if hits.count() <= BROADCAST_HITS:
+        hit = F.broadcast(hit)
+    found = train.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id"))).join(items, "item_id")
     # Lay the item over the text: its first word is at place ``shift``.
-    shift = F.col("pos") - F.col("at")
+    shift = F.col("shift")
     lo = F.greatest(-shift, F.lit(0))
     long = F.least(F.size("it"), F.size("t") - shift) - lo
-    found = found.select("doc_id", "item_id", F.size("it").alias("n"), F.slice("t", F.greatest(shift, F.lit(0)) + 1, long).alias("mine"), F.slice("it", lo + 1, long).alias("its"))
+    found = found.where(long > 0).select("doc_id", "item_id", F.size("it").alias("n"), F.slice("t", F.greatest(shift, F.lit(0)) + 1, long).alias("mine"), F.slice("it", lo + 1, long).alias("its"))
     same = found.select("doc_id", "item_id", "n", F.zip_with("mine", "its", lambda x, y: (x == y).cast("int")).alias("same"))
     width = F.least(F.lit(WINDOW), "n", F.size("same"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
