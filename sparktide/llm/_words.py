@@ -18,9 +18,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def string_array(column) -> pa.Array:
-    """One large_string array without nulls."""
+    """One large_string array without nulls. Slices are copied first: their
+    cast to long offsets has been seen to go wrong."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if column.offset:
+        column = column.take(pa.array(np.arange(len(column))))
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
