@@ -228,5 +228,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``; a character that
     a cut would split goes whole. ``n_chars`` follows the text."""
     found = repeated_spans(docs, whole_characters=True)
-    out = found.select("row.*", F.decode(F.col("kept"), F.lit("UTF-8")).alias("text"))
+    out = found.select("row.*", F.decode("kept", "UTF-8").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
