@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -75,6 +76,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def local_table(spark: SparkSession, data: dict, schema: str) -> DataFrame:
     """A DataFrame of driver-side columns, without a Python stage."""
     import pyarrow as pa

@@ -21,7 +21,6 @@ dictionary and parse are grouped, not sorted; see README.
 
 from __future__ import annotations
 
-import gc
 from functools import partial
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Workspace, read_table, small_batches
+from ._common import Workspace, read_table, small_batches, tidy
 from ._words import string_array
 
 LENGTH, GRAM, CLASS = 400, 12, 64
@@ -152,21 +151,15 @@ def _cut(batches, whole_characters: bool = False):
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_bytes"), pa.array(found, kind), pa.array(rest, pa.binary())], names=["row", "n_bytes", "spans", "kept"])
 
 
-def _tidy(spark) -> None:
-    """Let Spark remove the shuffle files of frames that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _marks(slim: DataFrame, ws: Workspace) -> DataFrame:
     """``dk, marks``: entries of a text that repeat, or have to be looked at."""
     named = ws.table(slim.mapInArrow(_name_entries, "dk long, core array<long>, whole array<long>, lo array<int>, n array<smallint>"), "names")
     twice = ws.table(named.select(F.explode("core").alias("core")).groupBy("core").count().where("count > 1").select("core"), "twice")
-    _tidy(slim.sparkSession)
+    tidy(slim.sparkSession)
     flat = named.select("dk", F.inline(F.arrays_zip("core", "whole", "lo", "n")))
     some = ws.table(flat.join(twice, "core"), "entries")
     ws.drop("names", "twice")
-    _tidy(slim.sparkSession)
+    tidy(slim.sparkSession)
     one = F.struct("dk", "lo")
     wholes = ws.table(some.groupBy("core", "whole").agg(F.count("*").alias("times"), F.min(one).alias("one")), "wholes")
     # Cores with an entry of which the whole is unique: its windows may repeat in other entries of the core.
@@ -177,7 +170,7 @@ def _marks(slim: DataFrame, ws: Workspace) -> DataFrame:
     marked = some.join(wholes, ["core", "whole"]).select("dk", F.struct("lo", F.col("n").cast("int").alias("n"), full.alias("full"), emit.alias("emit")).alias("m"))
     marks = ws.table(marked.groupBy("dk").agg(F.collect_set("m").alias("marks")), "marks")
     ws.drop("entries", "wholes", "open", "wholes-marked")
-    _tidy(slim.sparkSession)
+    tidy(slim.sparkSession)
     return marks
 
 
@@ -205,11 +198,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", whole_characters: bo
     hit = all_.where("marks is not null")
     named = ws.table(hit.where(F.exists("marks", lambda m: m["emit"])).select("dk", "text", "marks").dropDuplicates(["dk"]).mapInArrow(_name_windows, "dk long, key array<long>, at array<int>"), "windows")
     twice = ws.table(named.select(F.explode("key").alias("key")).groupBy("key").count().where("count > 1").select("key"), "windows-twice")
-    _tidy(spark)
+    tidy(spark)
     places = named.select("dk", F.inline(F.arrays_zip("key", "at"))).join(twice, "key").groupBy("dk").agg(F.collect_set("at").alias("places"))
     places = ws.table(places, "places")
     ws.drop("windows", "windows-twice", "marks")
-    _tidy(spark)
+    tidy(spark)
     cut = hit.join(places, "dk", "left").select("row", "n_bytes", "text", "marks", "places")
     schema = all_.select("row", "n_bytes").schema.add("spans", SPANS).add("kept", T.BinaryType())
     done = cut.mapInArrow(partial(_cut, whole_characters=whole_characters), schema)
