@@ -6,13 +6,13 @@ optimal densification: each empty slot probes slots in an order of its own,
 drawn from a 2-universal family, until it meets a filled one. ``rows`` slots
 form a band; equal bands meet in a bucket.
 
-A bucket yields a star: its centre (another one for each band) against each
-member, so ``n`` members give ``n - 1`` candidates. Candidates are confirmed
-on full sets. Links that no star can see (two members alike, the centre unlike
-one of them) are found after a first round of components: bucket members that
-are not in the bucket's largest component are compared with all members of
-other components. Members of one component need no further link, so no
-candidate's information is lost and nothing is capped.
+A bucket yields a star: its centre against each member, so ``n`` members give
+``n - 1`` candidates. The centre is the member that shares the most places in
+buckets, as a text does from which others derive. Candidates are confirmed on
+full sets. Links that no star can see (two members alike, the centre unlike one
+of them) are found where different components still meet in a bucket: by what
+the members do not share with the centre, see ``_rest``. Members of one
+component need no further link: nothing is lost and nothing is capped.
 
 Texts with equal shingle sets are one node from the start.
 """
@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import Workspace, read_table, small_batches
 from ._words import mixed, shingle_sets, string_array, word_hashes
@@ -33,6 +34,8 @@ SHINGLE, PERCENT = 5, 75
 SLOTS, ROWS = 128, 4
 #: Sets of up to SMALL shingles get the bands of MORE further hashes.
 SMALL, MORE = 48, 3
+#: In stars of up to so many members all open pairs are tried.
+SMALL_STAR = 24
 
 
 def probe_orders(slots: int, tries: int) -> np.ndarray:
@@ -102,7 +105,7 @@ def _sketch(batches):
             node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             keys.append(buckets(s) if len(s) else None)
         kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, kind)], names=["doc_id", "n", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, kind)], names=["doc_id", "n", "digest", "bands"])
 
 
 def _full(batches):
@@ -111,7 +114,7 @@ def _full(batches):
         for s in _sets(batch):
             node.append(xxhash.xxh3_128_digest(s.tobytes()))
             sets.append(s.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "set"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -124,6 +127,72 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str) -> D
     return ws.table(linked.select("a", "b"), name)
 
 
+def _near_size(x: str, y: str):
+    return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
+
+
+def _pair(x: str, y: str):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _meeting(met: DataFrame, part: DataFrame | None, ws: Workspace, name: str) -> DataFrame:
+    """Members of buckets in which different components meet."""
+    placed = met.withColumn("label", F.col("node")) if part is None else met.join(part, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = ws.table(placed.select("bucket", "node", "n", "fame", "label"), f"{name}-placed")
+    open_ = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    out = ws.table(placed.join(open_, "bucket"), f"{name}-meeting")
+    ws.drop(f"{name}-placed")
+    return out
+
+
+def _stars(meeting: DataFrame) -> DataFrame:
+    """``c, cn, cl, node, n, label``: the centre of each bucket, its most shared
+    member, with each other member."""
+    centres = meeting.groupBy("bucket").agg(F.max(F.struct("fame", F.xxhash64("node").alias("h"), "node", "n", "label")).alias("c"))
+    centres = centres.select("bucket", F.col("c.node").alias("c"), F.col("c.n").alias("cn"), F.col("c.label").alias("cl"))
+    return meeting.join(centres, "bucket").where("node != c").select("c", "cn", "cl", "node", "n", "label").distinct()
+
+
+def _rest(meeting: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
+    """Pairs ``a, b`` of bucket members that may be linked though no star says so.
+
+    With ``D`` the symmetric difference to the centre c of the bucket, x and y
+    differ in ``|Dx| + |Dy| - 2 |Dx & Dy|`` shingles, which a link bounds by
+    ``(|x| + |y|) / 7``. So Dx and Dy share a known least number of shingles, and
+    of their rarest-first orders a prefix is enough to find one. Two texts that
+    are both linked with c need no link. What all members have in common drops
+    out of D: members that differ from c each in their own way never meet.
+    """
+    stars = ws.table(_stars(meeting), "stars")
+    mixed_ = stars.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("most"), F.count("*").alias("size"))
+    mixed_ = ws.table(mixed_.where("lo != hi").select("c", "most", "size"), "mixed")
+    own = stars.join(mixed_, "c").join(sets.select(F.col("node").alias("c"), F.col("set").alias("sc")), "c").join(sets, "node")
+    delta = F.concat(F.array_except("set", "sc"), F.array_except("sc", "set"))
+    own = own.select("c", "node", "n", "label", "most", "size", delta.alias("delta"), (F.size(delta) * 7 <= F.col("n") + F.col("cn")).alias("linked"))
+    own = ws.table(own.withColumn("d", F.size("delta")), "deltas")
+    small = own.where(F.col("size") <= SMALL_STAR).select("c", "node", "n", "label", "linked")
+    other = small.where("not linked").select("c", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
+    pairs = small.join(other, "c").where("label != xl and (linked or x < node)").where(_near_size("n", "xn")).select(*_pair("node", "x"))
+    large = own.where(F.col("size") > SMALL_STAR)
+    least = large.where("not linked").groupBy("c").agg(F.min("d").alias("least"))
+    flat = large.select("c", "node", F.explode("delta").alias("e"))
+    rare = flat.groupBy("c", "e").agg(F.count("*").alias("times")).where("times > 1")
+    order = Window.partitionBy("c", "node").orderBy("times", "e")
+    # Shingles of one member alone are first in every order and meet nothing: only their number counts.
+    ranked = flat.join(rare, ["c", "e"]).select("c", "node", "e", F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy("c", "node")).alias("shared"))
+    ranked = ranked.join(large.join(least, "c").select("c", "node", "n", "label", "linked", "d", "most", "least"), ["c", "node"])
+    ranked = ranked.withColumn("k", F.col("k") + F.col("d") - F.col("shared"))
+    reach = F.col("n") + F.least(F.col("most"), F.floor(F.col("n") * 4 / 3))
+    # Least overlap with a member of no smaller, and with one of no larger difference.
+    as_less = F.ceil((F.col("d") + F.when(F.col("linked"), F.greatest("d", "least")).otherwise(F.col("d")) - reach / 7) / 2 - 1e-9)
+    as_more = F.ceil(F.col("d") - reach / 7 - 1e-9)
+    ranked = ws.table(ranked.select("c", "e", "node", "n", "label", "linked", "d", (F.col("k") <= F.col("d") - F.greatest(as_less, F.lit(1)) + 1).alias("less"), (F.col("k") <= F.col("d") - F.greatest(as_more, F.lit(1)) + 1).alias("more")), "ranked")
+    less = ranked.where("less").select("c", "e", "node", "n", "label", "linked", "d")
+    more = ranked.where("more").select("c", "e", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"), F.col("linked").alias("xk"), F.col("d").alias("xd"))
+    met = less.join(more, ["c", "e"]).where("label != xl and not (linked and xk) and (d < xd or d = xd and node < x)").where(_near_size("n", "xn"))
+    return pairs.unionByName(met.select(*_pair("node", "x"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each input row.
 
@@ -138,43 +207,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ws = Workspace(spark, "near")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
-    sketch = ws.table(slim.mapInArrow(_sketch, f"doc_id {kind}, n long, node binary, bands array<long>"), "sketch")
-    nodes = ws.table(sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min("bands").alias("bands")), "nodes")
-    # A node's bands follow from its set, so any row's will do.
-    member = ws.table(nodes.select("node", "n", F.explode("bands").alias("bucket")), "members")
-    # The node with the least hash, salted by the bucket, is the centre: bands have different ones.
-    rank = F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "n")
-    stars = ws.table(member.groupBy("bucket").agg(F.min(rank).alias("centre"), F.count("*").alias("size")).where("size > 1"), "stars")
-    near_size = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
-    met = member.join(stars, "bucket")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    spokes = met.where(F.col("node") != F.col("centre.node")).where(near_size(F.col("n"), F.col("centre.n"))).select(*pair(F.col("node"), F.col("centre.node"))).distinct()
-    spokes = ws.table(spokes, "spokes")
+    sketch = ws.table(slim.mapInArrow(_sketch, f"doc_id {kind}, n long, digest binary, bands array<long>"), "sketch")
+    # Rows of equal sets have equal bands: any row's will do. A number stands for the digest from here on.
+    nodes = sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("n").cast("int").alias("n"), F.min("bands").alias("bands"))
+    nodes = ws.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = ws.table(member.groupBy("bucket").count().where("count > 1"), "shared")
+    met = ws.table(member.join(shared, "bucket"), "shared-members")
+    # A text that others derive from shares the most places in buckets: as a centre it sees all of them.
+    fame = met.groupBy("node").agg(F.sum("count").alias("fame"))
+    met = ws.table(met.join(fame, "node").select("bucket", "node", "n", "fame"), "members")
+    ws.drop("shared", "shared-members")
     # Full sets of all nodes that share a bucket with another one.
-    wanted = ws.table(met.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", "first"), "wanted")
+    wanted = ws.table(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "digest", "first"), "wanted")
     again = slim.join(wanted.select("first").distinct(), slim["doc_id"].eqNullSafe(F.col("first")), "left_semi")
-    full = again.mapInArrow(_full, "node binary, set array<long>").join(wanted.select("node"), "node", "left_semi")
-    sets = ws.table(full.groupBy("node").agg(F.min("set").alias("set")), "sets")
-    links = _confirmed(spokes, sets, ws, "links")
+    full = again.mapInArrow(_full, "digest binary, set array<long>").join(wanted.select("node", "digest"), "digest")
+    sets = ws.table(full.select("node", "set").dropDuplicates(["node"]), "sets")
+    first = _meeting(met, None, ws, "all")
+    pairs = ws.table(_stars(first).where(_near_size("n", "cn")).select(*_pair("node", "c")).distinct(), "pairs")
+    links = _confirmed(pairs, sets, ws, "links")
     part = ws.table(connected_components(links, ws, "part"), "part-labels")
-    # Members of buckets in which components still meet.
-    placed = met.select("bucket", "node", "n").join(part, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-    placed = ws.table(placed, "placed")
-    mixed_ = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    placed = placed.join(mixed_, "bucket")
-    sizes = placed.groupBy("bucket", "label").count()
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top")).select("bucket", F.col("top.label").alias("top"))
-    placed = ws.table(placed.join(largest, "bucket"), "meeting")
-    odd = placed.where("label != top").select("bucket", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-    rest = odd.join(placed, "bucket").where("label != xl and (label = top or x < node)").where(near_size(F.col("n"), F.col("xn")))
-    rest = rest.select(*pair(F.col("x"), F.col("node"))).distinct().join(spokes, ["a", "b"], "left_anti")
-    more = _confirmed(ws.table(rest, "rest"), sets, ws, "more")
-    labels = ws.table(connected_components(links.unionByName(more), ws, "all"), "labels")
-    ws.drop("sets", "members", "placed", "meeting", "rest", "spokes", "stars", "wanted", "part-labels")
-    labelled = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    again = _meeting(met, part, ws, "open")
+    rest = ws.table(_rest(again, sets, ws), "rest")
+    more = _confirmed(rest, sets, ws, "more")
+    part = ws.table(connected_components(links.unionByName(more), ws, "whole"), "labels")
+    ws.drop("sets", "members", "wanted", "pairs", "rest", "ranked", "deltas", "stars", "all-meeting", "open-meeting", "part-labels")
+    labelled = nodes.join(part, "node", "left").select("digest", "first", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component"))
-    named = ws.table(labelled.join(least, "label").select("node", "component"), "named")
-    own = sketch.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    named = ws.table(labelled.join(least, "label").select("digest", "component"), "named")
+    own = sketch.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
     out = own.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
