@@ -27,10 +27,11 @@ def alpha_ema(x, k: float) -> E:
 
 
 def rma(x, n: int) -> E:
-    """Wilder's average; at row n the mean of the values so far."""
+    """Wilder's average; at row n the mean of the values so far, or without any
+    such value the first one after it."""
     x = wrap(x)
-    mean = linear_mean(x)
-    return linear(1 - 1 / n, x / n, when(row().eq(n), mean))
+    late = (row() > n) & cum("count", x).eq(1) & x.notnull()
+    return linear(1 - 1 / n, x / n, when(row().eq(n), linear_mean(x), when(late & (lag(cum("count", x)).eq(0)), x)))
 
 
 def linear_mean(x) -> E:

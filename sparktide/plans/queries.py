@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bars import LINEITEM_DAILY_SQL, lineitem_daily
@@ -14,6 +14,8 @@ from .registry import OPS
 
 KEEP = ("sym", "d")
 DIGITS = 6
+#: Decimals of results so large that doubles hold fewer.
+FEWER = {"mult": 0, "emv": 0, "eom": -6, "pvt": 2, "variance": 2, "vfi": 2, "marketfi": 4, "ad": 3, "adosc": 3, "efi": 3, "kvo": 3}
 #: Inputs that are no bar columns.
 INPUTS = {
     "beta": {"benchmark": "open"}, "correl": {"benchmark": "open"}, **{k: {"series_a": "high", "series_b": "low"} for k in ("add", "sub", "mult", "div")},
@@ -23,10 +25,21 @@ INPUTS = {
 }
 
 
+def shown(x: Column, digits: int) -> Column:
+    """Half up by plain arithmetic, which any engine does alike."""
+    scale = 10.0**digits
+    return F.floor(x.cast("double") * scale + 0.5).cast("double") / scale
+
+
+def shown_sql(x: str, digits: int) -> str:
+    scale = f"CAST({10.0**digits!r} AS DOUBLE)"
+    return f"CAST(floor(CAST({x} AS DOUBLE) * {scale} + 0.5) AS DOUBLE) / {scale}"
+
+
 def _run(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = TA(lineitem_daily(spark, sf_dir), "sym", "d").call(kind, **INPUTS.get(kind, {}))
-        values = [F.round(F.col(f"`{c}`"), DIGITS).alias(c) for c in out.columns if c not in KEEP]
+        values = [shown(F.col(f"`{c}`"), FEWER.get(kind, DIGITS)).alias(c) for c in out.columns if c not in KEEP]
         return out.select(*KEEP, *values)
 
     return query
@@ -41,7 +54,7 @@ class _Names:
 def oracle(kind: str) -> str | None:
     ta = TA(_Names(), "sym", "d")  # type: ignore[arg-type]
     try:
-        return Writer(LINEITEM_DAILY_SQL, ["sym"], ["d"]).sql(ta.outputs(kind, **INPUTS.get(kind, {})), list(KEEP), lambda x: f"round(CAST({x} AS DOUBLE), {DIGITS})")
+        return Writer(LINEITEM_DAILY_SQL, ["sym"], ["d"]).sql(ta.outputs(kind, **INPUTS.get(kind, {})), list(KEEP), lambda x: shown_sql(x, FEWER.get(kind, DIGITS)))
     except Unexpressed:
         return None
 
