@@ -241,7 +241,7 @@ def relative_strength(x, length=14, scalar=100, drift=1):
 def qqe(close, length=14, smooth=5, factor=4.236, mamode="ema", drift=1):
     wilder = 2 * length - 1
     r = c.ma(mamode, relative_strength(close, length, 100, drift), smooth)
-    band = factor * c.ma(mamode, c.ma(mamode, abs(r.diff(drift)), wilder), wilder)
+    band = factor * ema(ema(abs(r.diff(drift)), wilder), wilder)
     mode = "" if mamode == "ema" else mamode[0]
     tail = f"{mode}_{length}_{smooth}_{factor}"
     out = lambda k: recursive("qqe", (r, band), k)

@@ -62,7 +62,7 @@ def hma(close, length=10):
 
 @op(CAT)
 def ht_trendline(close):
-    return {"HT_TRENDLINE": when(row() > 37, recursive("hilbert", (close,), 6))}
+    return {"HT_TRENDLINE": recursive("hilbert", (close,), 6, start=37)}
 
 
 @op(CAT)

@@ -134,33 +134,33 @@ def ebsw(close, length=40, bars=10):
     return {f"EBSW_{n}_{bars}": recursive("even_better_sine", (close,), n=n, bars=bars)}
 
 
-def _hilbert(close, k, start):
-    return when(row() > start, recursive("hilbert", (close,), k))
+def _hilbert(close, output, start):
+    return recursive("hilbert", (close,), output, start=start)
 
 
 @op(CYC)
 def ht_dcperiod(close):
-    return {"HT_DCPERIOD": _hilbert(close, 0, 32)}
+    return {"HT_DCPERIOD": _hilbert(close, 0, 12)}
 
 
 @op(CYC)
 def ht_dcphase(close):
-    return {"HT_DCPHASE": _hilbert(close, 1, 63)}
+    return {"HT_DCPHASE": _hilbert(close, 1, 37)}
 
 
 @op(CYC)
 def ht_phasor(close):
-    return {"HT_PHASOR_INPHASE": _hilbert(close, 2, 32), "HT_PHASOR_QUAD": _hilbert(close, 3, 32)}
+    return {"HT_PHASOR_INPHASE": _hilbert(close, 2, 12), "HT_PHASOR_QUAD": _hilbert(close, 3, 12)}
 
 
 @op(CYC)
 def ht_sine(close):
-    return {"HT_SINE": _hilbert(close, 4, 63), "HT_LEADSINE": _hilbert(close, 5, 63)}
+    return {"HT_SINE": _hilbert(close, 4, 37), "HT_LEADSINE": _hilbert(close, 5, 37)}
 
 
 @op(CYC)
 def ht_trendmode(close):
-    return {"HT_TRENDMODE": when(row() > 63, recursive("hilbert", (close,), 7), 0)}
+    return {"HT_TRENDMODE": when(row() > 63, _hilbert(close, 7, 37), 0)}
 
 
 @op(CYC)

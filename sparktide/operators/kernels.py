@@ -164,95 +164,78 @@ def pmax(ma, band, close):
     return [out]
 
 
+class Sar:
+    """One side of a parabolic stop: where it stands, its extreme and pace."""
+
+    def __init__(self, high, low, start):
+        up, dn = (high[1] - high[0], low[0] - low[1]) if len(high) > 1 else (0.0, 0.0)
+        self.falling = dn > up and dn > 0
+        first = min(1, len(high) - 1)
+        self.stop = (high[0] if self.falling else low[0]) if start is None else start
+        self.extreme = low[first] if self.falling else high[first]
+
+    def reached(self, h, lo) -> bool:
+        """Takes in a bar's extreme; whether it is a new one."""
+        new = lo < self.extreme if self.falling else h > self.extreme
+        if new:
+            self.extreme = lo if self.falling else h
+        return new
+
+    def bound(self, s, highs, lows) -> float:
+        """The stop stays outside the last two bars."""
+        return max(s, *highs) if self.falling else min(s, *lows)
+
+    def passed(self, s, h, lo) -> bool:
+        return h > s if self.falling else lo < s
+
+    def turn(self, h, lo) -> None:
+        self.falling = not self.falling
+        self.extreme = lo if self.falling else h
+
+
 @kernel
 def parabolic(high, low, close, af0=0.02, af=0.02, max_af=0.2):
-    """long, short, acceleration, reversal."""
+    """long, short, acceleration, reversal; the first close is the first stop."""
     n = len(high)
-    h, lo, c = high.tolist(), low.tolist(), close.tolist()
-    long, short, accel, rev = _null(n), _null(n), _null(n), np.zeros(n)
-    if n == 0:
-        return [long, short, accel, rev]
-    falling = False
-    if n > 1:
-        up, dn = h[1] - h[0], lo[0] - lo[1]
-        falling = dn > up and dn > 0
-    sar = c[0] if c[0] == c[0] else (h[0] if falling else lo[0])
-    ep = lo[0] if falling else h[0]
-    rate, sars = af0, [sar]
-    accel[0] = af0
-    if n > 1:
-        ep = lo[1] if falling else h[1]
-        ep = lo[0] if falling else h[0]
-    for t in range(1, n):
-        if falling:
-            s = sar + rate * (ep - sar)
-            flip = h[t] > s
-            if lo[t] < ep:
-                ep, rate = lo[t], min(rate + af, max_af)
-            s = max(h[t - 1], h[t - 2] if t > 1 else h[t - 1], s)
-            flip = h[t] > s
-        else:
-            s = sar + rate * (ep - sar)
-            if h[t] > ep:
-                ep, rate = h[t], min(rate + af, max_af)
-            s = min(lo[t - 1], lo[t - 2] if t > 1 else lo[t - 1], s)
-            flip = lo[t] < s
-        if flip:
-            s, rate, falling = ep, af0, not falling
-            ep = lo[t] if falling else h[t]
-            rev[t] = 1
-        sar = s
-        sars.append(s)
-        accel[t] = rate
-    values = np.array(sars)
-    below = values < close
-    long[below], short[~below] = values[below], values[~below]
-    return [long, short, accel, rev]
+    h, lo = high.tolist(), low.tolist()
+    value, accel, rev = _null(n), _null(n), np.zeros(n)
+    if n:
+        sar, pace = Sar(h, lo, float(close[0])), af0
+        accel[0] = af0
+        for t in range(1, n):
+            s = sar.stop + pace * (sar.extreme - sar.stop)
+            if sar.reached(h[t], lo[t]):
+                pace = min(pace + af0, max_af)
+            s = sar.bound(s, (h[t - 1], h[max(0, t - 2)]), (lo[t - 1], lo[max(0, t - 2)]))
+            if sar.passed(s, h[t], lo[t]):
+                s, pace, rev[t] = sar.extreme, af0, 1
+                sar.turn(h[t], lo[t])
+            sar.stop = value[t] = s
+            accel[t] = pace
+    return [np.where(value < close, value, NAN), np.where(value >= close, value, NAN), accel, rev]
 
 
 @kernel
 def parabolic_extended(high, low, start=0.0, offset=0.0, init_long=0.02, step_long=0.02, max_long=0.2, init_short=0.02, step_short=0.02, max_short=0.2):
-    """Positive on the long side, negative on the short side; row 0 null."""
+    """Positive on the long side, negative on the short side; row 0 null. The
+    stop turns before it is bounded, and keeps its value when it turns."""
     n = len(high)
-    out = _null(n)
-    if n < 2:
-        return [out]
-    h, lo = high.tolist(), low.tolist()
-    up, dn = h[1] - h[0], lo[0] - lo[1]
-    long = not (dn > up and dn > 0) if start == 0 else start > 0
-    sar = abs(start) if start else (lo[0] if long else h[0])
-    ep = h[1] if long else lo[1]
-    a_long, a_short = min(init_long, max_long), min(init_short, max_short)
-    prev_h, prev_l = h[0], lo[0]
-    prev_h, prev_l = h[1], lo[1]
-    for t in range(1, n):
-        ph, pl, prev_h, prev_l = prev_h, prev_l, h[t], lo[t]
-        if long:
-            if prev_l <= sar:
-                long = False
-                sar = max(ep, ph, prev_h)
-                sar += sar * offset
-                out[t] = -sar
-                a_short, ep = min(init_short, max_short), prev_l
-                sar = max(sar + a_short * (ep - sar), ph, prev_h)
-            else:
-                out[t] = sar
-                if prev_h > ep:
-                    ep, a_long = prev_h, min(a_long + step_long, max_long)
-                sar = min(sar + a_long * (ep - sar), pl, prev_l)
-        else:
-            if prev_h >= sar:
-                long = True
-                sar = min(ep, pl, prev_l)
-                sar -= sar * offset
-                out[t] = sar
-                a_long, ep = min(init_long, max_long), prev_h
-                sar = min(sar + a_long * (ep - sar), pl, prev_l)
-            else:
-                out[t] = -sar
-                if prev_l < ep:
-                    ep, a_short = prev_l, min(a_short + step_short, max_short)
-                sar = max(sar + a_short * (ep - sar), ph, prev_h)
+    h, lo, out = high.tolist(), low.tolist(), _null(n)
+    if n:
+        sar = Sar(h, lo, start or None)
+        pace = init_short if sar.falling else init_long
+        for t in range(1, n):
+            s = sar.stop + pace * (sar.extreme - sar.stop)
+            turns = sar.passed(s, h[t], lo[t])
+            if sar.reached(h[t], lo[t]):
+                pace = min(pace + step_short, max_short) if sar.falling else min(pace + step_long, max_long)
+            s = sar.bound(s, (h[t - 1], h[max(0, t - 2)]), (lo[t - 1], lo[max(0, t - 2)]))
+            if turns:
+                s += offset * s if sar.falling else -offset * s
+                sar.turn(h[t], lo[t])
+                pace = init_short if sar.falling else init_long
+            sar.stop = s
+            out[t] = -s if sar.falling else s
     return [out]
 
 
@@ -304,10 +287,10 @@ def rsx(x, n=14):
     out[n - 1] = 0.0
     f90 = f0 = 0.0
     s = [0.0] * 12
-    f8 = f88 = f18 = f20 = 0.0
+    f8 = f88 = f18 = f20 = v14 = v20 = 0.0
     for t in range(n, m):
         if f90 == 0:
-            f90, f0, s = 1.0, 0.0, [0.0] * 12
+            f90, f0 = 1.0, 0.0
             f88 = n - 1.0 if n - 1 >= 5 else 5.0
             f8, f18 = 100 * x[t], 3.0 / (n + 2.0)
             f20 = 1 - f18
@@ -448,9 +431,11 @@ def hilo(close, upper, lower):
 
 @kernel
 def hilbert(x, start=37):
-    """period, phase, in-phase, quadrature, sine, lead sine, trend line, trend mode."""
+    """period, phase, in-phase, quadrature, sine, lead sine, trend line, trend mode.
+
+    Nothing before row ``start`` counts; the period is 0 there."""
     n = len(x)
-    outs = [_null(n) for _ in range(7)] + [np.zeros(n)]
+    outs = [np.zeros(n)] + [_null(n) for _ in range(6)] + [np.zeros(n)]
     v = x.tolist()
     sp, det, q1, i1 = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
     i2 = q2 = re = im = period = smooth = 0.0
@@ -458,7 +443,7 @@ def hilbert(x, start=37):
     days, line = 0, [0.0] * n
     total = np.concatenate([[0.0], np.cumsum(x)])
     at = lambda s, t: s[t] if t >= 0 else 0.0
-    for t in range(6, n):
+    for t in range(start, n):
         sp[t] = (4 * v[t] + 3 * v[t - 1] + 2 * v[t - 2] + v[t - 3]) / 10
         adj = 0.075 * period + 0.54
         h = lambda s: (0.0962 * s[t] + 0.5769 * at(s, t - 2) - 0.5769 * at(s, t - 4) - 0.0962 * at(s, t - 6)) * adj  # noqa: B023, E731
@@ -490,8 +475,7 @@ def hilbert(x, start=37):
             phase -= 360
         s0, l0 = sine, lead
         sine, lead = math.sin(math.radians(phase)), math.sin(math.radians(phase + 45))
-        k = min(count, t + 1)
-        line[t] = (total[t + 1] - total[t + 1 - k]) / k
+        line[t] = (total[t + 1] - total[max(t + 1 - count, 0)]) / count
         trend = (4 * line[t] + 3 * line[t - 1] + 2 * line[t - 2] + line[t - 3]) / 10
         mode = 1
         if (sine > lead and s0 <= l0) or (sine < lead and s0 >= l0):
