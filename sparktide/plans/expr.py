@@ -453,6 +453,35 @@ class Writer:
             return f"first_value({a[0]}) {self.over('UNBOUNDED PRECEDING AND CURRENT ROW')}"
         raise Unexpressed(e.op)
 
+    def recursion(self, e: E, name: str, parts: list[str], at: str) -> str:
+        """Adds a kernel's recursion; kernels with equal inputs share one."""
+        from .recursions import RECURSIONS
+
+        kind, output, *more = e.params
+        form = RECURSIONS[kind](**dict(more[0] if more else ())) if kind in RECURSIONS else None
+        if form is None:
+            raise Unexpressed(kind)
+        first, then, shown = form
+        key = f"{kind}{more}{[a.key for a in e.args]}"
+        if key not in self.names:
+            by = ", ".join(f'"{k}"' for k in self.by)
+            mine = ", ".join(f'i."{k}"' for k in self.by)
+            on = " AND ".join(f'i."{k}" = q."{k}"' for k in self.by)
+            inputs = ", ".join(f"CAST({self.text(a)} AS DOUBLE) AS x{k}" for k, a in enumerate(e.args))
+            state = list(dict.fromkeys([*first, *then]))
+            row = lambda own: ", ".join(f"{own[s]} AS n_{s}" if s in own else f"NULL AS n_{s}" for s in [*own, *(x for x in state if x not in own)])
+            names = ", ".join(f"n_{s} AS {s}" for s in state)
+            parts.append(f"{name}i AS MATERIALIZED (SELECT {by}, {ROW} AS r, {inputs} FROM {at})")
+            parts.append(
+                f"{name} AS (SELECT {by}, r, {names} FROM (SELECT {mine}, i.r, {row(first)} FROM {name}i i WHERE i.r = 1) UNION ALL "
+                f"SELECT {by}, r, {names} FROM (SELECT {mine}, i.r, {row(then)} FROM {name} q JOIN {name}i i ON {on} AND i.r = q.r + 1))"
+            )
+            columns = ", ".join(f"CAST(q.{s} AS DOUBLE) AS {name}_{s}" for s in dict.fromkeys(shown))
+            parts.append(f"s{len(parts)} AS MATERIALIZED (SELECT i.*, {columns} FROM {at} i JOIN {name} q ON {on} AND i.{ROW} = q.r)")
+            self.names[key], at = name, f"s{len(parts) - 1}"
+        self.names[e.key] = f"{self.names[key]}_{shown[output]}"
+        return at
+
     def sql(self, outputs: dict[str, E], keep: list[str], shown: Callable[[str], str] = lambda x: x) -> str:
         nodes = walk(outputs.values())
         row_number = f"row_number() {self.over()}"
@@ -468,7 +497,8 @@ class Writer:
             for e in recs:
                 name = f"r{len(self.names)}"
                 if e.params[0] != "linear":
-                    raise Unexpressed(e.params[0])
+                    at = self.recursion(e, name, parts, at)
+                    continue
                 a, b, seed = (self.text(x) for x in e.args)
                 by = ", ".join(f'"{k}"' for k in self.by)
                 on = " AND ".join(f'i."{k}" = q."{k}"' for k in self.by)
