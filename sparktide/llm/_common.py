@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import uuid
@@ -44,6 +45,32 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean(fn):
+    """A mapInArrow function whose worker gives memory back between batches.
+
+    Workers are used again; what one stage held would add up with the next.
+    """
+
+    @functools.wraps(fn)
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            trim = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            trim = lambda _: 0
+        for out in fn(batches):
+            yield out
+            del out
+            trim(0)
+        trim(0)
+
+    return run
+
+
 class Workspace:
     """Intermediate tables in the shared folder.
 

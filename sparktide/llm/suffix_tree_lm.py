@@ -27,17 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace, read_table, small_batches
+from ._common import Workspace, lean, read_table, small_batches, tidy
 from ._words import coded, string_array, words
 
-DEPTH, CONTEXTS, DIVERGENCE, LEAST_COUNT = 6, 32768, 4.0, 8
+DEPTH, CONTEXTS, DIVERGENCE, LEAST_COUNT = 5, 32768, 4.0, 8
 SPACE, END = 0x20, 0x0A
 #: Values a symbol can have: all bytes but white space, the space and the end sign.
 SYMBOLS = 256 - 6 + 2
 ADDITIVE = 0.5
 STRETCH = 512
-#: Documents of a block, and grams held before they are handed on.
-BLOCK_ROWS, HELD = 500, 1 << 21
+#: Documents of a block, documents laid out as bytes at a time, and grams held before they are handed on.
+BLOCK_ROWS, PART_ROWS, HELD = 2000, 200, 1 << 20
 END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 
 
@@ -56,8 +56,9 @@ def stream(flat: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(size):
         text = np.repeat(np.arange(texts), np.diff(ends))
         first = starts[text] + word_ends[:-1] - word_ends[ends[text]]
-        shift = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        out[np.arange(len(data)) + shift] = data
+        shift = np.repeat((first - np.concatenate([[0], np.cumsum(size)[:-1]])).astype(np.int32), size)
+        shift += np.arange(len(data), dtype=np.int32)
+        out[shift] = data
         out[first + size] = SPACE
     return out, starts
 
@@ -73,6 +74,7 @@ def grams(data: np.ndarray, starts: np.ndarray, use: np.ndarray) -> tuple[np.nda
     return np.unique(key[np.cumsum(own[:-1]).astype(bool)], return_counts=True)
 
 
+@lean
 def _survey(batches):
     """Rows of three kinds: (gram, n), (block, word, pos, n), (block, blob)."""
     block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
@@ -83,18 +85,23 @@ def _survey(batches):
         return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(height, f.type) for f in schema], schema=schema)
 
     def summed():
-        keys, at = np.unique(np.concatenate(held_keys), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate(held_counts)).astype(np.int64)
+        keys, counts = np.concatenate(held_keys), np.concatenate(held_counts)
+        order = np.argsort(keys, kind="stable")  # runs that are sorted already
+        keys, counts = keys[order], counts[order]
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[head], np.add.reduceat(counts, head)
 
     for whole in batches:
         for a in range(0, whole.num_rows, BLOCK_ROWS):
             batch = whole.slice(a, BLOCK_ROWS)
             flat, ends = words(string_array(batch.column("text")))
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            keys, counts = grams(*stream(flat, ends), train)
-            held_keys.append(keys)
-            held_counts.append(counts)
-            held += len(keys)
+            for b in range(0, batch.num_rows, PART_ROWS):
+                e = ends[b : b + PART_ROWS + 1]
+                keys, counts = grams(*stream(flat.slice(e[0], e[-1] - e[0]), e - e[0]), train[b : b + PART_ROWS])
+                held_keys.append(keys)
+                held_counts.append(counts)
+                held += len(keys)
             if held > HELD:
                 keys, counts = summed()
                 held_keys, held_counts, held = [keys], [counts], len(keys)
@@ -122,9 +129,11 @@ def _survey(batches):
 
 
 def _base(total: int, kinds: int):
+    @lean
     def run(batches):
         for batch in batches:
-            for blob, pos, c in zip(batch.column("blob").to_pylist(), batch.column("pos").to_pylist(), batch.column("c").to_pylist()):
+            for k in range(batch.num_rows):
+                blob, pos, c = batch.column("blob")[k].as_buffer(), batch.column("pos")[k].values, batch.column("c")[k].values
                 sizes = np.frombuffer(blob, "<i8", 5)
                 at, parts = 40, []
                 for size, kind in zip(sizes.tolist(), ("<i8", "<i4", "<i4", "<i4", "<i8")):
@@ -132,8 +141,8 @@ def _base(total: int, kinds: int):
                     at += parts[-1].nbytes
                 dk, distinct, code, times, local = parts
                 count = local.copy()
-                if pos:
-                    count[pos] = c
+                if pos is not None:
+                    count[pos.to_numpy()] = c.to_numpy()
                 value = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1)))
                 text = np.repeat(np.arange(len(dk)), distinct)
                 score = np.bincount(text, times * value[code], minlength=len(dk)) + value[-1]
@@ -160,7 +169,7 @@ def compiled(retained: dict[bytes, dict[int, int]]) -> Automaton:
     root = retained.get(b"", {})
     seen = sorted(set(root) | {SPACE, END})
     width = len(seen) + 1
-    symbol = np.full(256, width - 1, np.int64)
+    symbol = np.full(256, width - 1, np.int16)
     symbol[seen] = np.arange(len(seen))
     states = sorted({c[:k] for c in retained for k in range(len(c) + 1)} | {b""}, key=lambda c: (len(c), c))
     number = {c: i for i, c in enumerate(states)}
@@ -221,11 +230,12 @@ def log10_probabilities(model: Automaton, data: np.ndarray, starts: np.ndarray)
 
 
 def _scores(shared):
+    @lean
     def run(batches):
         model = shared.value
         for whole in batches:
-            for a in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(a, BLOCK_ROWS)
+            for a in range(0, whole.num_rows, PART_ROWS):
+                batch = whole.slice(a, PART_ROWS)
                 score = log10_probabilities(model, *stream(*words(string_array(batch.column("text")))))
                 keep = [n for n in batch.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(score)], names=[*keep, "score"])
@@ -284,16 +294,20 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     base = base.withColumn("dk", F.xxhash64("doc_id", "text"))
     found = ws.table(base.select("dk", "train", "text").mapInArrow(_survey, "block long, word long, pos int, n long, gram long, blob binary"), "survey")
     model = fit(ws.table(found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams"), ws, contexts)
+    ws.drop("grams")
+    tidy(spark)
     word = found.where("word is not null")
     count = ws.table(word.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")).where("c > 0"), "words")
+    tidy(spark)
     total, kinds = count.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # Counts go back to the blocks that share a word; others know them already.
     spread = word.join(count.where("blocks > 1").select("word", "c"), "word").groupBy("block").agg(F.collect_list("pos").alias("pos"), F.collect_list("c").alias("c"))
     blobs = found.where("blob is not null").select("block", "blob").join(spread, "block", "left").select("blob", "pos", "c")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row is a block
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a block
     bases = ws.table(blobs.mapInArrow(_base(int(total), int(kinds)), "dk long, n_tokens long, n_known long, base_score double").dropDuplicates(["dk"]), "base")
     small_batches(spark)
-    ws.drop("survey", "grams", "words")
+    ws.drop("survey", "words")
+    tidy(spark)
     shared = spark.sparkContext.broadcast(model)
     scored = base.mapInArrow(_scores(shared), "doc_id " + dict(base.dtypes)["doc_id"] + ", train boolean, dk long, score double")
     return scored.join(bases, "dk").select("doc_id", "train", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
