@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions_for, read_table, small_batches
+from ._common import lean, partitions_for, read_table, small_batches
 from ._words import mixed, string_array, word_hashes
 
 K, SLOTS, PICK = 2, 64, 2
@@ -90,6 +90,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+@lean
 def _pairs(batches):
     held = None  # (range, id, text, sketch): the last row, whose successor is still to come
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace, read_table, small_batches
+from ._common import Workspace, lean, read_table, small_batches
 from ._words import mixed, shingle_hashes, string_array, word_hashes
 
 LONG, ARRAY, COPY = 8, 500_000, 0.6
@@ -127,6 +127,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+@lean
 def _parse(batches):
     for batch in batches:
         texts, free, hosts, sizes = [], [], [], []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import Workspace, read_table, small_batches
+from ._common import Workspace, lean, read_table, small_batches
 from ._words import mixed, shingle_sets, string_array, word_hashes
 from .components import connected_components
 
@@ -97,6 +97,7 @@ def _sets(batch: pa.RecordBatch):
     return shingle_sets(hashes, ends, SHINGLE)
 
 
+@lean
 def _sketch(batches):
     for batch in batches:
         n, node, keys = [], [], []
@@ -108,6 +109,7 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, kind)], names=["doc_id", "n", "digest", "bands"])
 
 
+@lean
 def _full(batches):
     for batch in batches:
         node, sets = [], []

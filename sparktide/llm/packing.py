@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace, read_table, small_batches
+from ._common import Workspace, lean, read_table, small_batches
 from ._words import string_array
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS = 2048, 4096, 3, 2
@@ -254,6 +254,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _encode(name: str, capacity: int):
+    @lean
     def run(batches):
         encode = encoder(name)
         for batch in batches:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import read_table, small_batches
+from ._common import lean, read_table, small_batches
 from ._words import coded, string_array, words
 
 SAMPLE, RANK, NEIGHBOURS = 4096, 64, 25
@@ -86,6 +86,7 @@ class Model:
         return np.clip(np.where(total > 1e-9, score, self.labels.mean()), 0, 1)
 
 
+@lean
 def _features(batches):
     for batch in batches:
         texts = string_array(batch.column("text"))
@@ -128,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _score(shared):
+    @lean
     def run(batches):
         model = shared.value
         for batch in batches:
