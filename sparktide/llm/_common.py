@@ -125,12 +125,3 @@ def text_or_empty(col: str = "text"):
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def scanned(df: DataFrame) -> DataFrame:
-    """``df``, dealt out anew if it has fewer partitions than there are cores.
-
-    A small table in one file would otherwise keep one task busy.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
