@@ -306,7 +306,7 @@ class Planner:
                 full = full & (F.count(other).over(frame) >= floor)
             own = own.cast("double")
             if kind in ("corr", "skew", "kurt", "stddev_samp", "stddev_pop", "var_pop", "var_samp", "covar_samp"):
-                own = F.when(~F.isnan(own), own)
+                own = F.nanvl(own, F.lit(None).cast("double"))
             return F.when(full, own)
         if e.op == "before":
             kind, first, last, floor = e.params
