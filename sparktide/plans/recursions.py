@@ -161,6 +161,44 @@ def hikkake() -> Recursion:
     return first, then, ["y"]
 
 
+def rsx(n: int) -> Recursion:
+    on, f88, f18 = f"i.r > {n}", float(max(n - 1, 5)), 3.0 / (n + 2.0)
+    f20 = 1 - f18
+    then = {"go": f"{on} AND q.f90 = 0", "f90a": f"CASE WHEN NOT ({on}) THEN 0 WHEN n_go THEN 1 WHEN {f88} <= q.f90 THEN {f88 + 1} ELSE q.f90 + 1 END", "f8": "100 * i.x0"}
+    kept = lambda name, value: f"CASE WHEN {on} AND NOT n_go THEN {value} ELSE q.{name} END"
+    for side, value in (("a", "(n_f8 - q.f8)"), ("b", "abs(n_f8 - q.f8)")):
+        for k in range(3):
+            p, r = f"{side}{2 * k}", f"{side}{2 * k + 1}"
+            then[p] = kept(p, f"{f20!r} * q.{p} + {f18!r} * {value}")
+            then[r] = kept(r, f"{f18!r} * n_{p} + {f20!r} * q.{r}")
+            value = f"(1.5 * n_{p} - 0.5 * n_{r})"
+        then[f"v{side}"] = kept(f"v{side}", value)
+    then["f0"] = f"CASE WHEN NOT ({on}) OR n_go THEN 0 WHEN {f88} >= n_f90a AND n_f8 <> q.f8 THEN 1 ELSE q.f0 END"
+    then["f90"] = f"CASE WHEN {on} AND NOT n_go AND {f88} = n_f90a AND n_f0 = 0 THEN 0 ELSE n_f90a END"
+    then["y"] = f"CASE WHEN i.r = {n} THEN 0 WHEN {on} THEN CASE WHEN {f88} < n_f90 AND n_vb > 1e-10 THEN least(greatest(50 * (n_va / n_vb + 1), 0), 100) ELSE 50 END END"
+    first = {k: "0.0::DOUBLE" for k in then} | {"go": "FALSE", "y": NULL, "f8": "100 * i.x0"}
+    return first, then, ["y"]
+
+
+def parabolic_extended(start: float, offset: float, init_long: float, step_long: float, max_long: float, init_short: float, step_short: float, max_short: float) -> Recursion:
+    h, lo = "i.x0", "i.x1"
+    by_side = lambda short, long: f"CASE WHEN n_fall0 = 1 THEN {short} ELSE {long} END"
+    s0 = repr(start) if start else "CASE WHEN n_fall0 = 1 THEN q.h1 ELSE q.l1 END"
+    second = lambda value, other: f"CASE WHEN i.r = 2 THEN {value} ELSE {other} END"
+    then = {
+        "fall0": second(f"CASE WHEN q.l1 - {lo} > {h} - q.h1 AND q.l1 - {lo} > 0 THEN 1 ELSE 0 END", "q.fall"), "s0": second(s0, "q.s"), "e0": second(by_side(lo, h), "q.e"),
+        "a0": second(by_side(repr(init_short), repr(init_long)), "q.a"), "raw": "n_s0 + n_a0 * (n_e0 - n_s0)", "turn": by_side(f"CAST({h} > n_raw AS INT)", f"CAST({lo} < n_raw AS INT)"),
+        "new": by_side(f"{lo} < n_e0", f"{h} > n_e0"), "e1": f"CASE WHEN n_new THEN {by_side(lo, h)} ELSE n_e0 END",
+        "a1": f"CASE WHEN n_new THEN {by_side(f'least(n_a0 + {step_short!r}, {max_short!r})', f'least(n_a0 + {step_long!r}, {max_long!r})')} ELSE n_a0 END",
+        "bound": by_side("greatest(q.h1, q.h2, n_raw)", "least(q.l1, q.l2, n_raw)"), "s": f"CASE WHEN n_turn = 1 THEN n_bound * (1 + {by_side(repr(offset), repr(-offset))}) ELSE n_bound END",
+        "fall": "CASE WHEN n_turn = 1 THEN 1 - n_fall0 ELSE n_fall0 END", "e": f"CASE WHEN n_turn = 1 THEN CASE WHEN n_fall = 1 THEN {lo} ELSE {h} END ELSE n_e1 END",
+        "a": f"CASE WHEN n_turn = 1 THEN CASE WHEN n_fall = 1 THEN {init_short!r} ELSE {init_long!r} END ELSE n_a1 END", "y": "CASE WHEN n_fall = 1 THEN -n_s ELSE n_s END",
+        "h1": h, "l1": lo, "h2": "q.h1", "l2": "q.l1",
+    }
+    first = {k: NULL for k in then} | {"new": "FALSE", "turn": "0", "fall": "0", "fall0": "0", "h1": h, "l1": lo, "h2": h, "l2": lo}
+    return first, then, ["y"]
+
+
 RECURSIONS: dict[str, Callable[..., Recursion | None]] = {
-    f.__name__: f for f in (mcginley, holt_winters, holt_winters_channel, super_smoother, laguerre, fisher, stochastic_pass, supertrend, pmax, hilo, even_better_sine, parabolic, qqe, hikkake)
+    f.__name__: f for f in (mcginley, holt_winters, holt_winters_channel, super_smoother, laguerre, fisher, stochastic_pass, supertrend, pmax, hilo, even_better_sine, parabolic, qqe, hikkake, rsx, parabolic_extended)
 }
