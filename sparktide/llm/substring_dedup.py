@@ -10,8 +10,11 @@ An entry has two names: ``core`` for the bytes that all of its windows have in
 common, ``whole`` for all bytes they cover. Windows that repeat have cores that
 repeat, so an entry with a core of its own is done with. An entry whose whole
 repeats is a run of repeated windows. The few entries between (the ends of
-matches) are settled window by window. Names are counted by partial aggregates,
-so a passage that a third of all rows share costs no more than any other.
+matches) are settled window by window. Runs of entries form the phrases: what
+is found out about an entry holds wherever its phrase stands, so it is found
+once, in the dictionary, and the parse takes it to the texts. Names are counted
+by partial aggregates: a passage that a third of all rows share costs no more
+than any other.
 
 Names (64-bit hashes) stand for intervals of the suffix arrays of dictionary
 and parse: strings with equal names are neighbours in corpus order for at
@@ -30,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Workspace, read_table, small_batches, tidy
+from ._common import Workspace, lean, read_table, small_batches, tidy
 from ._words import string_array
 
 LENGTH, GRAM, CLASS = 400, 12, 64
 #: One place of so many is a trigger, for windows that have none at the first level on the second.
 RATES = (128, 16)
+#: One entry of so many ends a phrase.
+PHRASE = 8
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 MULTIPLIER = np.uint32(0x01000193)
 
@@ -90,36 +95,72 @@ def entries(n: int, places: list[list[int]]):
     return at(0, 0, last) if last >= 0 else ()
 
 
+def _cut_blocks(view: memoryview) -> list[tuple[int, int, tuple]]:
+    """Phrases of a text: ``(name, first window, entries)``. A phrase ends with
+    an entry whose core says so, hence equal runs of entries are equal phrases."""
+    digest, span = xxhash.xxh3_64_intdigest, LENGTH - CLASS + 1
+    out, own, start = [], ([], [], [], []), None
+
+    def close():
+        arrays = tuple(np.array(x, kind) for x, kind in zip(own, (np.uint64, np.uint64, np.int32, np.int16)))
+        out.append((digest(b"".join(a.tobytes() for a in arrays)), start, arrays))
+        for x in own:
+            x.clear()
+
+    for level, c, core, lo, hi in entries(len(view), trigger_places(np.frombuffer(view, np.uint8))):
+        start = lo if not own[0] else start
+        whole = digest(view[lo : hi + LENGTH], seed=1)
+        core = whole if core is None else digest(view[core : core + span], seed=level << 8 | c)
+        for x, value in zip(own, (core, whole, lo - start, hi - lo + 1)):
+            x.append(value)
+        if core % PHRASE == 0:
+            close()
+    if own[0]:
+        close()
+    return out
+
+
+NAMES = "dk long, phrases array<long>, starts array<int>, phrase long, times long, start int, core array<long>, whole array<long>, lo array<int>, n array<smallint>"
+
+
+@lean
 def _name_entries(batches):
-    digest = xxhash.xxh3_64_intdigest
-    span = LENGTH - CLASS + 1
+    """Two kinds of rows: the parse (dk, phrases, starts) of each text, and the
+    dictionary: each distinct phrase of a batch with a place where it stands."""
+    ints, small = pa.list_(pa.int64()), pa.list_(pa.int32())
+    kinds = (pa.int64(), ints, small, pa.int64(), pa.int64(), pa.int32(), ints, ints, small, pa.list_(pa.int16()))
+    names = [part.split()[0] for part in NAMES.split(", ")]
+
+    def rows(height, given):
+        return pa.RecordBatch.from_arrays([given[n] if n in given else pa.nulls(height, k) for n, k in zip(names, kinds)], names=names)
+
     for batch in batches:
-        cores, wholes, starts, counts = [], [], [], []
-        for text in string_array(batch.column("text")).cast(pa.large_binary()):
+        dks, phrases, starts, known = batch.column("dk").to_pylist(), [], [], {}
+        for dk, text in zip(dks, string_array(batch.column("text")).cast(pa.large_binary())):
             raw = text.as_buffer()
-            view = memoryview(raw) if raw is not None else memoryview(b"")
-            own = ([], [], [], [])
-            if len(view) >= LENGTH:
-                for level, c, core, lo, hi in entries(len(view), trigger_places(np.frombuffer(view, np.uint8))):
-                    whole = digest(view[lo : hi + LENGTH], seed=1)
-                    own[0].append(whole if core is None else digest(view[core : core + span], seed=level << 8 | c))
-                    own[1].append(whole)
-                    own[2].append(lo)
-                    own[3].append(hi - lo + 1)
-            for total, x, kind in zip((cores, wholes, starts, counts), own, (np.uint64, np.uint64, np.int32, np.int16)):
-                total.append(np.array(x, kind).view(np.int64) if kind is np.uint64 else np.array(x, kind))
-        ints = pa.list_(pa.int64())
-        columns = [batch.column("dk"), pa.array(cores, ints), pa.array(wholes, ints), pa.array(starts, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int16()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["dk", "core", "whole", "lo", "n"])
+            found = _cut_blocks(memoryview(raw)) if raw is not None and raw.size >= LENGTH else []
+            phrases.append(np.array([p for p, _, _ in found], np.uint64).view(np.int64))
+            starts.append(np.array([at for _, at, _ in found], np.int32))
+            for p, at, arrays in found:
+                known.setdefault(p, [0, dk, at, arrays])[0] += 1
+        if dks:
+            yield rows(len(dks), {"dk": pa.array(dks, pa.int64()), "phrases": pa.array(phrases, ints), "starts": pa.array(starts, small)})
+        if known:
+            times, places, at, arrays = zip(*known.values())
+            core, whole, lo, n = zip(*arrays)
+            given = {"dk": pa.array(places, pa.int64()), "phrase": pa.array(np.array(list(known), np.uint64).view(np.int64)), "times": pa.array(times, pa.int64()), "start": pa.array(at, pa.int32())}
+            given |= {"core": pa.array([x.view(np.int64) for x in core], ints), "whole": pa.array([x.view(np.int64) for x in whole], ints), "lo": pa.array(lo, small), "n": pa.array(n, pa.list_(pa.int16()))}
+            yield rows(len(known), given)
 
 
+@lean
 def _name_windows(batches):
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         keys, places = [], []
-        for text, marks in zip(string_array(batch.column("text")).cast(pa.large_binary()), batch.column("marks").to_pylist()):
+        for text, runs in zip(string_array(batch.column("text")).cast(pa.large_binary()), batch.column("look").to_pylist()):
             view = memoryview(text.as_buffer())
-            own = sorted({i for m in marks if m["emit"] for i in range(m["lo"], m["lo"] + m["n"])})
+            own = sorted({i for r in runs for i in range(r["lo"], r["lo"] + r["n"])})
             keys.append(np.array([digest(view[i : i + LENGTH], seed=2) for i in own], np.uint64).view(np.int64))
             places.append(np.array(own, np.int32))
         yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["dk", "key", "at"])
@@ -137,12 +178,12 @@ def spans(n: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(batches, whole_characters: bool = False):
+def _cut_all(batches, whole_characters: bool = False):
     for batch in batches:
         found, rest = [], []
         raw = string_array(batch.column("text")).cast(pa.large_binary()).to_pylist()
         for text, marks, places in zip(raw, batch.column("marks").to_pylist(), batch.column("places").to_pylist()):
-            own = spans(len(text), [(m["lo"], m["n"]) for m in marks or () if m["full"]] + [(i, 1) for i in places or ()])
+            own = spans(len(text), [(m["lo"], m["n"]) for m in marks or ()] + [(i, 1) for i in places or ()])
             found.append([{"start": a, "stop": b} for a, b in own])
             ends = [0, *(x for s in own for x in s), len(text)]
             parts = [text[a:b] for a, b in zip(ends[::2], ends[1::2])]
@@ -151,27 +192,36 @@ def _cut(batches, whole_characters: bool = False):
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_bytes"), pa.array(found, kind), pa.array(rest, pa.binary())], names=["row", "n_bytes", "spans", "kept"])
 
 
-def _marks(slim: DataFrame, ws: Workspace) -> DataFrame:
-    """``dk, marks``: entries of a text that repeat, or have to be looked at."""
-    named = ws.table(slim.mapInArrow(_name_entries, "dk long, core array<long>, whole array<long>, lo array<int>, n array<smallint>"), "names")
-    twice = ws.table(named.select(F.explode("core").alias("core")).groupBy("core").count().where("count > 1").select("core"), "twice")
-    tidy(slim.sparkSession)
-    flat = named.select("dk", F.inline(F.arrays_zip("core", "whole", "lo", "n")))
-    some = ws.table(flat.join(twice, "core"), "entries")
-    ws.drop("names", "twice")
-    tidy(slim.sparkSession)
-    one = F.struct("dk", "lo")
-    wholes = ws.table(some.groupBy("core", "whole").agg(F.count("*").alias("times"), F.min(one).alias("one")), "wholes")
+def _marks(slim: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """``dk, marks``: the runs of repeated windows of each text, and ``dk, look``:
+    runs of windows that have to be looked at one by one."""
+    spark = slim.sparkSession
+    named = ws.table(slim.mapInArrow(_name_entries, NAMES), "names")
+    dictionary = named.where("phrase is not null").select("phrase", "times", "dk", "start", F.inline(F.arrays_zip("core", "whole", "lo", "n")))
+    twice = ws.table(dictionary.groupBy("core").agg(F.sum("times").alias("times")).where("times > 1").select("core"), "twice")
+    tidy(spark)
+    some = dictionary.join(twice, "core").select("phrase", "times", "core", "whole", "lo", "n", F.struct("dk", (F.col("start") + F.col("lo")).alias("lo")).alias("one"))
+    some = ws.table(some, "entries")
+    tidy(spark)
+    wholes = ws.table(some.groupBy("core", "whole").agg(F.sum("times").alias("all"), F.min("one").alias("first")), "wholes")
     # Cores with an entry of which the whole is unique: its windows may repeat in other entries of the core.
-    open_ = ws.table(wholes.groupBy("core").agg(F.min("times").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1").select("core", F.lit(True).alias("open")), "open")
-    wholes = ws.table(wholes.join(open_, "core", "left").where("times > 1 or open"), "wholes-marked")
-    full = F.col("times") > 1
-    emit = F.coalesce("open", F.lit(False)) & (F.col("one") == one)
-    marked = some.join(wholes, ["core", "whole"]).select("dk", F.struct("lo", F.col("n").cast("int").alias("n"), full.alias("full"), emit.alias("emit")).alias("m"))
-    marks = ws.table(marked.groupBy("dk").agg(F.collect_set("m").alias("marks")), "marks")
-    ws.drop("entries", "wholes", "open", "wholes-marked")
-    tidy(slim.sparkSession)
-    return marks
+    open_ = ws.table(wholes.groupBy("core").agg(F.min("all").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1").select("core", F.lit(True).alias("open")), "open")
+    wholes = ws.table(wholes.join(open_, "core", "left").where("all > 1 or open"), "wholes-marked")
+    run = F.struct("lo", F.col("n").cast("int").alias("n")).alias("run")
+    full = some.join(wholes.where("all > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("phrase", run)
+    full = ws.table(full.groupBy("phrase").agg(F.collect_set("run").alias("runs")), "full")
+    look = some.join(wholes.where("open").select("core", "whole", "first"), ["core", "whole"]).where(F.col("one") == F.col("first"))
+    look = look.select(F.col("one.dk").alias("dk"), F.struct(F.col("one.lo").alias("lo"), F.col("n").cast("int").alias("n")).alias("run"))
+    look = ws.table(look.groupBy("dk").agg(F.collect_set("run").alias("look")), "look")
+    ws.drop("entries", "wholes", "open", "wholes-marked", "twice")
+    parse = named.where("phrases is not null").select("dk", F.inline(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("starts").alias("start"))))
+    placed = parse.join(full, "phrase").groupBy("dk").agg(F.collect_set(F.struct("start", "runs")).alias("placed"))
+    moved = F.transform("placed", lambda p: F.transform(p["runs"], lambda r: F.struct((r["lo"] + p["start"]).alias("lo"), r["n"].alias("n"))))
+    marks = placed.select("dk", F.flatten(moved).alias("marks"))
+    marks = ws.table(marks, "marks")
+    ws.drop("names", "full")
+    tidy(spark)
+    return marks, look
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", whole_characters: bool = False) -> DataFrame:
@@ -192,21 +242,22 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", whole_characters: bo
     # The key is that of row and text: rows that share it are equal, and so are their marks.
     row = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(0).alias("none"))
     base = docs.select(row.alias("row"), text.alias("text")).withColumn("dk", F.xxhash64(F.to_json("row"), "text"))
-    marks = _marks(base.select("dk", "text"), ws)
+    marks, look = _marks(base.select("dk", "text"), ws)
+    both = ws.table(marks.join(look, "dk", "full"), "both")
     # The one shuffle of texts. Texts without marks are done with.
-    all_ = ws.table(base.join(marks, "dk", "left").withColumn("n_bytes", F.octet_length("text").cast("long")), "texts")
-    hit = all_.where("marks is not null")
-    named = ws.table(hit.where(F.exists("marks", lambda m: m["emit"])).select("dk", "text", "marks").dropDuplicates(["dk"]).mapInArrow(_name_windows, "dk long, key array<long>, at array<int>"), "windows")
+    all_ = ws.table(base.join(both, "dk", "left").withColumn("n_bytes", F.octet_length("text").cast("long")), "texts")
+    hit = all_.where("marks is not null or look is not null")
+    named = ws.table(hit.where("look is not null").select("dk", "text", "look").dropDuplicates(["dk"]).mapInArrow(_name_windows, "dk long, key array<long>, at array<int>"), "windows")
     twice = ws.table(named.select(F.explode("key").alias("key")).groupBy("key").count().where("count > 1").select("key"), "windows-twice")
     tidy(spark)
     places = named.select("dk", F.inline(F.arrays_zip("key", "at"))).join(twice, "key").groupBy("dk").agg(F.collect_set("at").alias("places"))
     places = ws.table(places, "places")
-    ws.drop("windows", "windows-twice", "marks")
+    ws.drop("windows", "windows-twice", "marks", "look", "both")
     tidy(spark)
     cut = hit.join(places, "dk", "left").select("row", "n_bytes", "text", "marks", "places")
     schema = all_.select("row", "n_bytes").schema.add("spans", SPANS).add("kept", T.BinaryType())
-    done = cut.mapInArrow(partial(_cut, whole_characters=whole_characters), schema)
-    rest = all_.where("marks is null").select("row", "n_bytes", F.array().cast(SPANS).alias("spans"), F.col("text").cast("binary").alias("kept"))
+    done = cut.mapInArrow(lean(partial(_cut_all, whole_characters=whole_characters)), schema)
+    rest = all_.where("marks is null and look is null").select("row", "n_bytes", F.array().cast(SPANS).alias("spans"), F.col("text").cast("binary").alias("kept"))
     return done.unionByName(rest)
 
 
