@@ -112,7 +112,7 @@ def _tables() -> dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ..
     from ..operators import tables as t
     from ..sources.bars import resample
 
-    week = F.date_trunc("week", F.col("d")).cast("date")
+    week = lambda: F.date_trunc("week", F.col("d")).cast("date")  # noqa: E731  # columns need a session
     by, order = ["sym"], "OVER (PARTITION BY sym ORDER BY d)"
     weekly = "SELECT sym, CAST(date_trunc('week', d) AS DATE) AS d, arg_min(open, d) AS open, max(high) AS high, min(low) AS low, arg_max(close, d) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2"
     change = f"SELECT sym, d, close / lag(close) {order} - 1 AS r, open / lag(open) {order} - 1 AS b FROM bars"
@@ -136,7 +136,7 @@ SELECT sym, cagr, dd AS max_drawdown, ddp AS max_drawdown_pct, ddl AS max_drawdo
         "vp": (lambda df: t.volume_profile(df, by, "d"), ("sym", "bucket"), 4, f"SELECT sym, bucket, min(close) AS low_close, avg(close) AS mean_close, max(close) AS high_close, sum(CASE WHEN c > 0 THEN volume ELSE 0 END) AS pos_volume, sum(CASE WHEN c < 0 THEN volume ELSE 0 END) AS neg_volume, sum(volume) AS total_volume FROM (SELECT *, ntile(10) {order} AS bucket, close - lag(close) {order} AS c FROM bars) GROUP BY 1, 2"),
         "tos_stdevall": (lambda df: t.stdev_all(df, by, "d"), KEEP, 1, f"""WITH x AS (SELECT sym, d, close, row_number() {order} - 1 AS x FROM bars), g AS (SELECT sym, regr_intercept(close, x) AS a, regr_slope(close, x) AS b, stddev_samp(close) AS s FROM x GROUP BY sym)
 SELECT sym, d, a + b * x AS "TOS_STDEVALL_LR", {", ".join(f'a + b * x - {k} * s AS "TOS_STDEVALL_L_{k}", a + b * x + {k} * s AS "TOS_STDEVALL_U_{k}"' for k in (1, 2, 3))} FROM x JOIN g USING (sym)"""),
-        "resample_weekly": (lambda df: resample(df, by, "d", week), KEEP, 4, weekly),
+        "resample_weekly": (lambda df: resample(df, by, "d", week()), KEEP, 4, weekly),
         "previous_period": (lambda df: t.previous_period(df, by, "d", "week").select("sym", "d", "prev_open", "prev_high", "prev_low", "prev_close", "prev_volume"), KEEP, 4, f"SELECT sym, d, po AS prev_open, ph AS prev_high, pl AS prev_low, pc AS prev_close, pv AS prev_volume FROM bars LEFT JOIN (SELECT sym AS psym, * EXCLUDE (sym) FROM ({prev})) ON psym = sym AND p = date_trunc('week', d)"),
         "cpr_weekly": (lambda df: t.pivots(df, by, "d", "classic", "week").select("sym", "d", "CPR_TC", "CPR_PIVOT", "CPR_BC", "CPR_R1", "CPR_S1"), KEEP, 4, f'SELECT sym, d, 2 * (ph + pl + pc) / 3 - (ph + pl) / 2 AS "CPR_TC", (ph + pl + pc) / 3 AS "CPR_PIVOT", (ph + pl) / 2 AS "CPR_BC", 2 * (ph + pl + pc) / 3 - pl AS "CPR_R1", 2 * (ph + pl + pc) / 3 - ph AS "CPR_S1" FROM bars LEFT JOIN (SELECT sym AS psym, * EXCLUDE (sym) FROM ({prev})) ON psym = sym AND p = date_trunc(\'week\', d)'),
         "as_of_join": (lambda df: t.as_of(df.select("sym", "d", "close"), df.where(F.dayofweek("d") == 2).select("sym", "d", F.col("close").alias("monday_close")), by, "d", ["monday_close"]), KEEP, 4, "SELECT a.sym, a.d, a.close, b.monday_close FROM bars a ASOF LEFT JOIN (SELECT sym, d, close AS monday_close FROM bars WHERE dayofweek(d) = 1) b ON a.sym = b.sym AND a.d >= b.d"),

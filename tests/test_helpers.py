@@ -68,3 +68,14 @@ def test_profile_by_price(spark):
     pdf = pd.DataFrame({"k": "a", "t": range(100), "close": [float(i % 10) for i in range(100)], "volume": 1.0})
     got = volume_profile(spark.createDataFrame(pdf), ["k"], "t", width=5, sort_close=True).orderBy("bucket").collect()
     assert [r["total_volume"] for r in got] == [20.0] * 5 and got[0]["low_close"] == 0.0 and got[-1]["high_close"] == 9.0
+
+
+def test_queries_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 300 and set(o) <= set(q); print(len(q), len(o))"
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=top, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
