@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op9_spaced_seed_decontamination": decontaminate.ORACLE,
+    "op10_minhash_near_dedup": near_dedup.ORACLE,
+    "op8_warc": warc.ORACLE,
 }

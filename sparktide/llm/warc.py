@@ -307,3 +307,15 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
         "page_id", F.when(full, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
         F.when(full, base32_sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
     )
+
+
+def _base32_sql(sha: str) -> str:
+    digit = lambda v, k: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({v} >> {k}) & 31 AS INT) + 1, 1)"
+    chunks = [f"CAST(('0x' || substr({sha}, {1 + 10 * i}, 10)) AS BIGINT)" for i in range(4)]
+    return " || ".join(digit(v, k) for v in chunks for k in range(35, -1, -5))
+
+
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_base32_sql("sha")} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
