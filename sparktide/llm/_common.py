@@ -53,20 +53,14 @@ def lean(fn):
 
     @functools.wraps(fn)
     def run(batches):
-        import ctypes
-
         import pyarrow as pa
 
         pa.set_memory_pool(pa.system_memory_pool())
-        try:
-            trim = ctypes.CDLL("libc.so.6").malloc_trim
-        except (OSError, AttributeError):
-            trim = lambda _: 0
         for out in fn(batches):
             yield out
             del out
-            trim(0)
-        trim(0)
+            trim()
+        trim()
 
     return run
 
@@ -84,7 +78,7 @@ class Workspace:
     def table(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = new_path(self.spark, f"{self.label}-{name}")
         schema = df.schema
-        writer = df.write.option("compression", "zstd")
+        writer = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
@@ -106,9 +100,20 @@ def remove(spark: SparkSession, path: str) -> None:
 def tidy(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of frames that nobody holds any more."""
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give freed memory of this process back to the system."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def local_table(spark: SparkSession, data: dict, schema: str) -> DataFrame:
     """A DataFrame of driver-side columns, without a Python stage."""
     import pyarrow as pa

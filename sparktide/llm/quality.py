@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lean, read_table, small_batches
+from ._common import lean, read_table, small_batches, trim
 from ._words import coded, string_array, words
 
 SAMPLE, RANK, NEIGHBOURS = 4096, 64, 25
@@ -116,16 +116,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = rows.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(_features, "label int, counts binary")
     rows = rows.orderBy(F.xxhash64("counts"), "counts").limit(sample).collect()  # ids that repeat don't add rows without end
-    count = _dense([bytes(r["counts"]) for r in rows])
+    x = _dense([bytes(r["counts"]) for r in rows])
     label = np.array([r["label"] for r in rows], np.float32)
     n = max(1, len(rows))
-    weight = (np.log((1 + n) / (1 + (count > 0).sum(axis=0))) + 1).astype(np.float32)
+    del rows
+    weight = (np.log((1 + n) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     weight[WORDS:] *= SHAPE_WEIGHT
-    x = np.sqrt(count / np.maximum(count[:, :WORDS].sum(axis=1, keepdims=True), 1)) * weight
-    values, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
-    model = Model(weight, np.ascontiguousarray(axes[:, ::-1][:, :RANK]).astype(np.float32), np.zeros((0, RANK), np.float32), label)
-    model.vectors = model.latent(count)
-    return model
+    x /= np.maximum(x[:, :WORDS].sum(axis=1, keepdims=True), 1)
+    np.sqrt(x, out=x)
+    x *= weight
+    _, axes = np.linalg.eigh(x.T @ x)
+    axes = np.ascontiguousarray(axes[:, ::-1][:, :RANK])
+    latent = x @ axes
+    del x
+    trim()
+    return Model(weight, axes, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12), label)
 
 
 def _score(shared):
