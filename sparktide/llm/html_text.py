@@ -2,11 +2,13 @@
 
 A page is cut into blocks of text; containers that name themselves menus,
 headers, footers, sidebars, notices, adverts, forms or comments are marked, and
-so is what an ``article`` or ``main`` element holds. The token streams of a
-host's pages (all that no such element vouches for) are concatenated and their
-suffix array is sorted to a depth of ``LONG`` tokens: neighbours that agree so
-far and lie on distinct pages are a repeated string. What such strings cover is
-boilerplate, on every page of the host; unique runs stay.
+so is what an ``article`` or ``main`` element holds; on pages with such an
+element the rest is left out. The token streams of a host's pages (what is left
+out too) are concatenated and their suffix array is sorted to a depth of
+``LONG`` tokens: neighbours that agree so far and lie on distinct pages are a
+repeated string. What such strings cover is boilerplate, on every page of the
+host and inside ``article`` and ``main`` too; unique runs stay. Pages of a host
+with equal main text are one page: they repeat nothing for each other.
 
 A host of many tokens has an array for each ``ARRAY`` tokens; what any of them
 finds holds for all pages of the host. A page of which repeated strings cover
@@ -20,6 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,71 +133,82 @@ def host_of(url: str | None) -> str:
 @lean
 def _parse(batches):
     for batch in batches:
-        texts, free, hosts, sizes = [], [], [], []
+        texts, hosts, others, contents = [], [], [], []
         for url, page in zip(string_array(batch.column("url")).to_pylist(), string_array(batch.column("html")).to_pylist()):
             own = blocks(page)
-            if any(v and not n for _, n, v in own):
-                kept, left = [t for t, n, v in own if v and not n], [t for t, n, v in own if not v]
-                texts.append(kept)
-                free.append([False] * len(kept))
-            else:
-                kept = [t for t, n, v in own if not n]
-                left = [t for t, n, v in own]
-                texts.append(kept)
-                free.append([True] * len(kept))
+            vouched = any(v and not n for _, n, v in own)
+            kept = [not n and (v or not vouched) for _, n, v in own]
+            texts.append([t for (t, _, _), k in zip(own, kept) if k])
+            others.append("\n".join(t for (t, _, _), k in zip(own, kept) if not k))
             hosts.append(host_of(url))
-            sizes.append("\n".join(left))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("rid"), pa.array(hosts), pa.array(texts, pa.list_(pa.string())), pa.array(free, pa.list_(pa.bool_())), pa.array(sizes, pa.string())], names=["row", "rid", "host", "texts", "free", "stream"])
-
-
-def repeated_strings(hashes: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarray:
-    """Places at which a string of ``long`` tokens starts that also starts on
-    another page, by a suffix array sorted to that depth."""
+            contents.append(xxhash.xxh3_64_intdigest("\0".join([hosts[-1], " ".join(texts[-1]) or "\0" + others[-1]])))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), pa.array(hosts, pa.string()), pa.array(np.array(contents, np.uint64).view(np.int64)), pa.array(texts, pa.list_(pa.string())), pa.array(others, pa.string())],
+            names=["row", "host", "content", "texts", "others"],
+        )
+
+
+def string_pages(hashes: np.ndarray, page: np.ndarray, run: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of all places at which ``long`` tokens of one run start,
+    sorted to that depth; where in it each distinct string begins (and the end);
+    and on how many pages it stands. Pages ascend within a string if they do in
+    ``page``, runs lie within a page."""
     n = len(hashes)
     if n < long:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
     _, rank = np.unique(hashes, return_inverse=True)
     rank, depth = rank.astype(np.int64), 1
     while depth < long:
         step = min(depth, long - depth)
         follow = np.full(n, -1, np.int64)
-        follow[: n - step] = np.where(page[step:] == page[: n - step], rank[step:], -1)
+        follow[: n - step] = np.where(run[step:] == run[: n - step], rank[step:], -1)
         _, rank = np.unique(rank * (n + 2) + follow + 1, return_inverse=True)
         depth += step
-    order = np.argsort(rank, kind="stable")  # the suffix array; equal ranks are in page order
-    run, where = rank[order], page[order]
-    head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    stop = np.append(head[1:], n) - 1
-    shared = np.zeros(n, bool)
-    shared[head] = where[head] != where[stop]
-    hit = order[np.repeat(shared[head], stop - head + 1)]
-    inside = hit + long - 1 < n
-    hit = hit[inside]
-    return np.sort(hit[page[hit] == page[hit + long - 1]])
+    order = np.argsort(rank[: n - long + 1], kind="stable")  # equal ranks are in the order of places
+    order = order[run[order] == run[order + long - 1]]
+    if not len(order):
+        return order, np.zeros(1, np.int64), np.zeros(0, np.int64)
+    first = np.concatenate([[True], rank[order[1:]] != rank[order[:-1]]])
+    other = first | np.concatenate([[True], page[order[1:]] != page[order[:-1]]])
+    head = np.flatnonzero(first)
+    return order, np.append(head, len(order)), np.add.reduceat(other.astype(np.int64), head)
+
+
+def repeated_strings(hashes: np.ndarray, page: np.ndarray, long: int = LONG) -> np.ndarray:
+    """Places at which a string of ``long`` tokens starts that also starts on another page."""
+    order, heads, pages = string_pages(hashes, page, page, long)
+    return np.sort(order[np.repeat(pages > 1, np.diff(heads))])
 
 
 def window_names(hashes: np.ndarray) -> np.ndarray:
     return mixed(shingle_hashes(hashes, LONG))
 
 
-def _arrays(table: pa.Table) -> pa.Table:
-    hashes, ends = word_hashes(string_array(table.column("stream")), lower=False)
-    page = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    at = repeated_strings(hashes, page)
-    names = np.unique(window_names(hashes)[at]).view(np.int64) if len(at) else np.zeros(0, np.int64)
-    return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(names), pa.string()), "name": pa.array(names)})
+HITS = "content long, size int, names array<long>, at array<int>"
 
 
-def _windows(batches):
-    """Names of the windows of the blocks that no element vouches for."""
-    for batch in batches:
-        names, at = [], []
-        for texts, free in zip(batch.column("texts").to_pylist(), batch.column("free").to_pylist()):
-            hashes, _ = word_hashes(pa.array([" ".join(t for t, f in zip(texts, free) if f)], pa.large_string()), lower=False)
-            own = window_names(hashes)
-            names.append(own.view(np.int64))
-            at.append(np.arange(len(own), dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("host"), pa.array(names, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], names=["rid", "host", "name", "at"])
+def _arrays(table: pa.Table) -> pa.Table:
+    """For each main text its words and the places of repeated strings in it, with their names."""
+    table = table.sort_by("content")
+    contents, page_of = np.unique(table.column("content").to_numpy(), return_inverse=True)
+    once = np.concatenate([[0], np.flatnonzero(page_of[1:] != page_of[:-1]) + 1])
+    # Page by page: the main text, then what was left out of each of its rows.
+    kept, others = string_array(table.column("text")).to_pylist(), string_array(table.column("others")).to_pylist()
+    runs, page, main = [], [], []
+    for p, (a, b) in enumerate(zip(once.tolist(), [*once[1:].tolist(), len(kept)])):
+        own = [kept[a], *others[a:b]]
+        main.append(len(runs))
+        runs += own
+        page += [p] * len(own)
+    hashes, ends = word_hashes(pa.array(runs, pa.large_string()), lower=False)
+    run = np.repeat(np.arange(len(runs)), np.diff(ends))
+    order, heads, pages = string_pages(hashes, np.array(page)[run], run)
+    places = np.sort(order[np.repeat(pages > 1, np.diff(heads))])
+    names = mixed(window_names(hashes) ^ np.uint64(xxhash.xxh3_64_intdigest(table.column("host")[0].as_py()))).view(np.int64)
+    lo, hi = ends[:-1][main], ends[1:][main]
+    own = [places[a:b] for a, b in zip(np.searchsorted(places, lo), np.searchsorted(places, hi))]
+    ints, small = pa.list_(pa.int64()), pa.list_(pa.int32())
+    return pa.table({"content": pa.array(contents), "size": pa.array((hi - lo).astype(np.int32)), "names": pa.array([names[x] for x in own], ints), "at": pa.array([(x - a).astype(np.int32) for x, a in zip(own, lo)], small)})
 
 
 def unique_runs(texts: list[str], at: list[int] | None) -> str:
@@ -230,21 +244,17 @@ def main_texts(pages: DataFrame) -> DataFrame:
     ws = Workspace(spark, "html")
     others = [c for c in pages.columns if c != "html"]
     row = F.struct(*(F.col(f"`{c}`") for c in others))
-    base = pages.select(row.alias("row"), F.monotonically_increasing_id().alias("rid"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    schema = base.select("row", "rid").schema.add("host", "string")
-    for name, kind in (("texts", "array<string>"), ("free", "array<boolean>"), ("stream", "string")):
-        schema = schema.add(name, _ddl(kind))
+    base = pages.select(row.alias("row"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    schema = base.select("row").schema.add("host", "string").add("content", "long").add("texts", _ddl("array<string>")).add("others", "string")
     parsed = ws.table(base.mapInArrow(_parse, schema), "parsed")
-    tokens = F.size(F.split("stream", r"\s+"))
-    streams = parsed.where("stream != ''").select("rid", "host", "stream", tokens.alias("n"))
+    text = F.array_join("texts", " ")
+    tokens = F.size(F.split(text, " ")) + F.size(F.split("others", r"\s+"))
+    streams = parsed.where((F.size("texts") > 0) | (F.col("others") != "")).select("host", "content", text.alias("text"), "others", tokens.alias("n"))
     hosts = ws.table(streams.groupBy("host").agg(F.ceil(F.sum("n") / ARRAY).alias("arrays"), F.count("*").alias("pages")).where("pages > 1").select("host", "arrays"), "hosts")
-    dealt = streams.join(hosts, "host").select("host", F.pmod(F.xxhash64("rid"), F.col("arrays")).alias("part"), "stream")
-    found = ws.table(dealt.groupBy("host", "part").applyInArrow(_arrays, "host string, name long").distinct(), "repeated")
-    loose = parsed.where(F.exists("free", lambda x: x)).select("rid", "host", "texts", "free").mapInArrow(_windows, "rid long, host string, name array<long>, at array<int>")
-    hits = loose.select("rid", "host", F.inline(F.arrays_zip("name", "at"))).join(found, ["host", "name"]).groupBy("rid").agg(F.collect_list("at").alias("at"))
-    hits = ws.table(hits, "hits")
-    ws.drop("hosts", "repeated")
-    out = parsed.select("row", "rid", "texts").join(hits, "rid", "left")
+    dealt = streams.join(hosts, "host").select("host", F.pmod("content", "arrays").alias("part"), "content", "text", "others")
+    hits = ws.table(dealt.groupBy("host", "part").applyInArrow(_arrays, HITS).where("size(at) > 0"), "hits")
+    ws.drop("hosts")
+    out = parsed.select("row", "content", "texts").join(hits.select("content", "at"), "content", "left")
     return out.select("row", "texts", "at").mapInArrow(_extract, base.select("row").schema.add("text", "string"))
 
 

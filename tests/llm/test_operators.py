@@ -168,6 +168,18 @@ def test_main_text(spark):
     assert main_texts(df.where("page_id < 0")).count() == 0
 
 
+def test_strings_that_repeat_inside_articles(spark):
+    """Boilerplate that an article element holds goes too; pages of equal text repeat nothing for each other."""
+    from sparktide.llm.html_text import main_texts
+
+    own = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(4)]
+    notice = "Write to us every week and we will send you all our stories for free"
+    rows = [(k, f"http://d.org/{k}", f"<nav>menu</nav><article><p>{own[k]}</p><p>{notice}</p></article>") for k in range(3)]
+    rows += [(k, f"http://e.org/{k}", f"<nav>menu {k}</nav><main><p>{own[3]}</p></main>") for k in (4, 5)]
+    got = {r.row.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: own[0], 1: own[1], 2: own[2], 4: own[3], 5: own[3]}
+
+
 def test_repeated_strings_by_brute_force():
     from sparktide.llm.html_text import LONG, repeated_strings
 
