@@ -10,8 +10,9 @@ repeated string. What such strings cover is boilerplate, on every page of the
 host and inside ``article`` and ``main`` too; unique runs stay. Pages of a host
 with equal main text are one page: they repeat nothing for each other.
 
-A host of many tokens has an array for each ``ARRAY`` tokens; what any of them
-finds holds for all pages of the host. A page of which repeated strings cover
+A host of many tokens has an array for each ``ARRAY`` tokens. Its arrays count the
+pages of each of their strings, and the counts are added up by name (a 64-bit
+hash), so what repeats is found on the host as a whole, however it is dealt. A page of which repeated strings cover
 more than ``COPY`` is a copy of a page, not boilerplate, and stays whole.
 """
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace, lean, read_table, small_batches
+from ._common import Workspace, lean, read_table, small_batches, tidy
 from ._words import mixed, shingle_hashes, string_array, word_hashes
 
 LONG, ARRAY, COPY = 8, 500_000, 0.6
@@ -184,11 +185,13 @@ def window_names(hashes: np.ndarray) -> np.ndarray:
     return mixed(shingle_hashes(hashes, LONG))
 
 
-HITS = "content long, size int, names array<long>, at array<int>"
+HITS = "content long, size int, names array<long>, at array<int>, name long, pages int"
 
 
 def _arrays(table: pa.Table) -> pa.Table:
-    """For each main text its words and the places of repeated strings in it, with their names."""
+    """For each main text its words and the places of strings in it that repeat
+    in this array, with their names. Where the host has further arrays, also each
+    string's name and number of pages; with one page, its places in the main text."""
     table = table.sort_by("content")
     contents, page_of = np.unique(table.column("content").to_numpy(), return_inverse=True)
     once = np.concatenate([[0], np.flatnonzero(page_of[1:] != page_of[:-1]) + 1])
@@ -208,7 +211,21 @@ def _arrays(table: pa.Table) -> pa.Table:
     lo, hi = ends[:-1][main], ends[1:][main]
     own = [places[a:b] for a, b in zip(np.searchsorted(places, lo), np.searchsorted(places, hi))]
     ints, small = pa.list_(pa.int64()), pa.list_(pa.int32())
-    return pa.table({"content": pa.array(contents), "size": pa.array((hi - lo).astype(np.int32)), "names": pa.array([names[x] for x in own], ints), "at": pa.array([(x - a).astype(np.int32) for x, a in zip(own, lo)], small)})
+    n = len(contents)
+    given = [pa.array(contents), pa.array((hi - lo).astype(np.int32)), pa.array([names[x] for x in own], ints), pa.array([(x - a).astype(np.int32) for x, a in zip(own, lo)], small), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
+    out = pa.table(given, names=["content", "size", "names", "at", "name", "pages"])
+    if table.column("arrays")[0].as_py() == 1 or not len(pages):
+        return out
+    n = len(pages)
+    single = np.repeat(pages == 1, np.diff(heads))
+    of = np.array(page)[run[order]]
+    inside = single & (order >= lo[of]) & (order < hi[of])  # the main text is the first run of a page
+    string = np.repeat(np.arange(n), np.diff(heads))
+    at = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(string[inside], minlength=n))]).astype(np.int32), (order - lo[of])[inside].astype(np.int32))
+    some = np.bincount(string[inside], minlength=n) > 0
+    content = pa.array(contents[of[heads[:-1]]], mask=~some)
+    more = pa.table([content, pa.nulls(n, pa.int32()), pa.nulls(n, ints), at, pa.array(names[order[heads[:-1]]]), pa.array(pages.astype(np.int32))], names=out.column_names)
+    return pa.concat_tables([out, more])
 
 
 def unique_runs(texts: list[str], at: list[int] | None) -> str:
@@ -251,9 +268,17 @@ def main_texts(pages: DataFrame) -> DataFrame:
     tokens = F.size(F.split(text, " ")) + F.size(F.split("others", r"\s+"))
     streams = parsed.where((F.size("texts") > 0) | (F.col("others") != "")).select("host", "content", text.alias("text"), "others", tokens.alias("n"))
     hosts = ws.table(streams.groupBy("host").agg(F.ceil(F.sum("n") / ARRAY).alias("arrays"), F.count("*").alias("pages")).where("pages > 1").select("host", "arrays"), "hosts")
-    dealt = streams.join(hosts, "host").select("host", F.pmod("content", "arrays").alias("part"), "content", "text", "others")
-    hits = ws.table(dealt.groupBy("host", "part").applyInArrow(_arrays, HITS).where("size(at) > 0"), "hits")
-    ws.drop("hosts")
+    dealt = streams.join(hosts, "host").select("host", F.pmod("content", "arrays").alias("part"), "arrays", "content", "text", "others")
+    found = ws.table(dealt.groupBy("host", "part").applyInArrow(_arrays, HITS), "found")
+    tidy(spark)
+    names = found.where("name is not null")
+    # A string has at most one row an array.
+    split = names.groupBy("name").agg(F.sum("pages").alias("pages"), F.collect_list(F.when(F.col("content").isNotNull(), F.struct("content", "at"))).alias("single")).where("pages > 1")
+    split = split.select("name", F.inline("single")).select("content", F.lit(0).alias("size"), F.array_repeat("name", F.size("at")).alias("names"), "at")
+    hits = found.where("name is null").select("content", "size", "names", "at").unionByName(split)
+    hits = hits.groupBy("content").agg(F.max("size").alias("size"), F.flatten(F.collect_list("names")).alias("names"), F.flatten(F.collect_list("at")).alias("at")).where("size(at) > 0")
+    hits = ws.table(hits, "hits")
+    ws.drop("hosts", "found")
     out = parsed.select("row", "content", "texts").join(hits.select("content", "at"), "content", "left")
     return out.select("row", "texts", "at").mapInArrow(_extract, base.select("row").schema.add("text", "string"))
 

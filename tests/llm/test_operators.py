@@ -180,6 +180,24 @@ def test_strings_that_repeat_inside_articles(spark):
     assert got == {0: own[0], 1: own[1], 2: own[2], 4: own[3], 5: own[3]}
 
 
+def test_strings_of_large_hosts(spark, monkeypatch):
+    """The bound of an array does not change what repeats on a host."""
+    import random
+
+    from sparktide.llm import html_text
+
+    rng = random.Random(9)
+    shared = [" ".join(f"s{k}x{j}" for j in range(rng.randint(8, 14))) for k in range(20)]
+    rows = []
+    for k in range(40):
+        own = [" ".join(f"w{k}x{j}x{i}" for j in range(15)) for i in range(3)]
+        rows.append((k, f"http://f.org/{k}", f"<nav>{shared[k % 7]}</nav><article><p>{own[0]}<p>{shared[k // 2]}<p>{own[1]}<p>{own[2]}</article>", " ".join(own)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    for size in (html_text.ARRAY, 150):
+        monkeypatch.setattr(html_text, "ARRAY", size)
+        assert all(r.text == r.row.want for r in html_text.main_texts(pages).collect())
+
+
 def test_repeated_strings_by_brute_force():
     from sparktide.llm.html_text import LONG, repeated_strings
 
