@@ -12,8 +12,14 @@ with equal main text are one page: they repeat nothing for each other.
 
 A host of many tokens has an array for each ``ARRAY`` tokens. Its arrays count the
 pages of each of their strings, and the counts are added up by name (a 64-bit
-hash), so what repeats is found on the host as a whole, however it is dealt. A page of which repeated strings cover
-more than ``COPY`` is a copy of a page, not boilerplate, and stays whole.
+hash), so what repeats is found on the host as a whole, however it is dealt.
+
+A page of which repeated strings cover more than ``COPY`` is either a short text
+under long boilerplate or an edited copy of a page. What is unique tells them
+apart: edits are runs of a word or two between repeated strings, a text of its
+own has runs of ``LONG`` words and more (on average). A page with text of its own
+loses all repeated strings, whatever they cover. A copy loses those that stand on
+two pages with texts of their own, and keeps what only copies share.
 """
 
 from __future__ import annotations
@@ -228,6 +234,24 @@ def _arrays(table: pa.Table) -> pa.Table:
     return pa.concat_tables([out, more])
 
 
+def has_own_text(size: int, at: list[int]) -> bool:
+    """Whether a main text of ``size`` words is more than an edited copy, given
+    the places of its repeated strings."""
+    gone = np.zeros(size + 1, np.int64)
+    np.add.at(gone, at, 1)
+    np.add.at(gone, np.minimum(np.asarray(at, np.int64) + LONG, size), -1)
+    own = np.cumsum(gone)[:size] == 0
+    runs = np.count_nonzero(own[1:] & ~own[:-1]) + int(own[:1].any())
+    return bool(runs) and (own.mean() >= 1 - COPY or own.sum() >= LONG * runs)
+
+
+@lean
+def _own(batches):
+    for batch in batches:
+        own = [has_own_text(n, at) for n, at in zip(batch.column("size").to_pylist(), batch.column("at").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("content"), batch.column("names"), batch.column("at"), pa.array(own, pa.bool_())], names=["content", "names", "at", "own"])
+
+
 def unique_runs(texts: list[str], at: list[int] | None) -> str:
     """The blocks' words without those that the windows at ``at`` cover."""
     words = [t.split() for t in texts]
@@ -237,7 +261,7 @@ def unique_runs(texts: list[str], at: list[int] | None) -> str:
         gone[i] += 1
         gone[min(n, i + LONG)] -= 1
     covered = np.cumsum(gone)[:n] > 0
-    if not covered.any() or covered.mean() > COPY:
+    if not covered.any():
         return " ".join(texts)
     return " ".join(w for w, c in zip((w for t in words for w in t), covered) if not c)
 
@@ -277,8 +301,16 @@ def main_texts(pages: DataFrame) -> DataFrame:
     split = split.select("name", F.inline("single")).select("content", F.lit(0).alias("size"), F.array_repeat("name", F.size("at")).alias("names"), "at")
     hits = found.where("name is null").select("content", "size", "names", "at").unionByName(split)
     hits = hits.groupBy("content").agg(F.max("size").alias("size"), F.flatten(F.collect_list("names")).alias("names"), F.flatten(F.collect_list("at")).alias("at")).where("size(at) > 0")
-    hits = ws.table(hits, "hits")
+    hits = ws.table(hits.mapInArrow(_own, "content long, names array<long>, at array<int>, own boolean"), "hits")
     ws.drop("hosts", "found")
+    tidy(spark)
+    # Names hold the host's. What copies have in common with two texts of their own:
+    each = hits.select("own", F.explode(F.array_distinct("names")).alias("name"))
+    common = each.groupBy("name").agg(F.count_if("own").alias("texts"), F.count_if(~F.col("own")).alias("copies")).where("texts > 1 and copies > 0").select("name")
+    copies = hits.where("not own").select("content", F.inline(F.arrays_zip(F.col("names").alias("name"), "at")))
+    copies = copies.join(common, "name", "left_semi").groupBy("content").agg(F.collect_list("at").alias("at"))
+    hits = ws.table(hits.where("own").select("content", "at").unionByName(copies), "gone")
+    ws.drop("hits")
     out = parsed.select("row", "content", "texts").join(hits.select("content", "at"), "content", "left")
     return out.select("row", "texts", "at").mapInArrow(_extract, base.select("row").schema.add("text", "string"))
 

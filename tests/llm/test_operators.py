@@ -180,6 +180,24 @@ def test_strings_that_repeat_inside_articles(spark):
     assert got == {0: own[0], 1: own[1], 2: own[2], 4: own[3], 5: own[3]}
 
 
+def test_short_texts_under_long_boilerplate(spark):
+    """Strings that cover most of a page go; an edited copy of a page stays."""
+    from sparktide.llm.html_text import main_texts
+
+    boiler = " ".join(f"menu{j}" for j in range(60))
+    own = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(3)]
+    text = [f"t{j}" for j in range(80)]
+    edited = [*text[:20], "edit", *text[21:50], "edits", *text[51:]]
+    notice = " ".join(f"n{j}" for j in range(10))
+    rows = [(k, f"http://g.org/{k}", f"<div>{boiler}</div><p>{own[k]}</p>") for k in range(3)]
+    rows += [(3, "http://g.org/3", f"<div>{boiler}</div>")]
+    long = [" ".join(f"l{k}x{j}" for j in range(40)) for k in range(2)]
+    rows += [(10 + k, f"http://h.org/{k}", f"<p>{long[k]}<p>{notice}") for k in range(2)]
+    rows += [(12 + k, f"http://h.org/{2 + k}", f"<p>{' '.join(t)}<p>{notice}") for k, t in enumerate((text, edited))]
+    got = {r.row.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: own[0], 1: own[1], 2: own[2], 3: "", 10: long[0], 11: long[1], 12: " ".join(text), 13: " ".join(edited)}
+
+
 def test_strings_of_large_hosts(spark, monkeypatch):
     """The bound of an array does not change what repeats on a host."""
     import random
