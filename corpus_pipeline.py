@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from sparktide.llm import decontaminate, near_dedup, packing, quality, substring_dedup
 from sparktide.llm._common import Workspace, read_table
 
+#: Words of the shortest passage that may not repeat.
+WORDS = 51
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (7) does not reject."""
@@ -29,8 +32,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings of 400 bytes that repeat (2)."""
-    return substring_dedup.without_repeats(docs)
+    """Documents without passages of over 50 words that repeat, and of the rest
+    without strings of 400 bytes that repeat (2): those may be of few words, or of
+    a script without spaces."""
+    return substring_dedup.without_repeats(substring_dedup.without_repeats(docs, words=WORDS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

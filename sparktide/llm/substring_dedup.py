@@ -20,10 +20,14 @@ Names (64-bit hashes) stand for intervals of the suffix arrays of dictionary
 and parse: strings with equal names are neighbours in corpus order for at
 least LENGTH bytes. The order between different names is never read, so
 dictionary and parse are grouped, not sorted; see README.
+
+Strings of a number of words are found in the same way, with ``CODE`` bytes (the
+word's hash) in place of each word.
 """
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 import numpy as np
@@ -34,9 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import Workspace, lean, read_table, small_batches, tidy
-from ._words import string_array
+from ._words import string_array, word_hashes
 
 LENGTH, GRAM, CLASS = 400, 12, 64
+#: Bytes that stand for a word.
+CODE = 8
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: One place of so many is a trigger, for windows that have none at the first level on the second.
 RATES = (128, 16)
 #: One entry of so many ends a phrase.
@@ -63,11 +70,11 @@ def trigger_places(data: np.ndarray) -> list[np.ndarray]:
     return [fine[(h[fine] & np.uint32(RATES[0] - 1)) == 0], fine]
 
 
-def entries(n: int, places: list[list[int]]):
+def entries(n: int, places: list[list[int]], length: int = LENGTH):
     """``(level, class, core start, first window, last window)`` for a text of
     n bytes: each window is in one entry. ``core start`` is None for a window
     without triggers, which is an entry of its own."""
-    last, reach = n - LENGTH, LENGTH - GRAM
+    last, reach = n - length, length - GRAM
 
     def at(level: int, x: int, y: int):
         """Entries of the windows x..y, which have no trigger of a lower level."""
@@ -95,10 +102,10 @@ def entries(n: int, places: list[list[int]]):
     return at(0, 0, last) if last >= 0 else ()
 
 
-def _cut_blocks(view: memoryview) -> list[tuple[int, int, tuple]]:
+def _cut_blocks(view: memoryview, length: int = LENGTH) -> list[tuple[int, int, tuple]]:
     """Phrases of a text: ``(name, first window, entries)``. A phrase ends with
     an entry whose core says so, hence equal runs of entries are equal phrases."""
-    digest, span = xxhash.xxh3_64_intdigest, LENGTH - CLASS + 1
+    digest, span = xxhash.xxh3_64_intdigest, length - CLASS + 1
     out, own, start = [], ([], [], [], []), None
 
     def close():
@@ -107,9 +114,9 @@ def _cut_blocks(view: memoryview) -> list[tuple[int, int, tuple]]:
         for x in own:
             x.clear()
 
-    for level, c, core, lo, hi in entries(len(view), trigger_places(np.frombuffer(view, np.uint8))):
+    for level, c, core, lo, hi in entries(len(view), trigger_places(np.frombuffer(view, np.uint8)), length):
         start = lo if not own[0] else start
-        whole = digest(view[lo : hi + LENGTH], seed=1)
+        whole = digest(view[lo : hi + length], seed=1)
         core = whole if core is None else digest(view[core : core + span], seed=level << 8 | c)
         for x, value in zip(own, (core, whole, lo - start, hi - lo + 1)):
             x.append(value)
@@ -123,10 +130,23 @@ def _cut_blocks(view: memoryview) -> list[tuple[int, int, tuple]]:
 NAMES = "dk long, phrases array<long>, starts array<int>, phrase long, times long, start int, core array<long>, whole array<long>, lo array<int>, n array<smallint>"
 
 
-@lean
-def _name_entries(batches):
+def _raw(column, words: int | None):
+    """The bytes of each text in which strings are looked for."""
+    texts = string_array(column)
+    if words is None:
+        for text in texts.cast(pa.large_binary()):
+            yield memoryview(text.as_buffer())
+    else:
+        hashes, ends = word_hashes(texts, lower=False)
+        view = memoryview(hashes.view(np.uint8))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield view[a * CODE : b * CODE]
+
+
+def _name_entries(batches, words: int | None = None):
     """Two kinds of rows: the parse (dk, phrases, starts) of each text, and the
     dictionary: each distinct phrase of a batch with a place where it stands."""
+    length = CODE * words if words else LENGTH
     ints, small = pa.list_(pa.int64()), pa.list_(pa.int32())
     kinds = (pa.int64(), ints, small, pa.int64(), pa.int64(), pa.int32(), ints, ints, small, pa.list_(pa.int16()))
     names = [part.split()[0] for part in NAMES.split(", ")]
@@ -136,9 +156,8 @@ def _name_entries(batches):
 
     for batch in batches:
         dks, phrases, starts, known = batch.column("dk").to_pylist(), [], [], {}
-        for dk, text in zip(dks, string_array(batch.column("text")).cast(pa.large_binary())):
-            raw = text.as_buffer()
-            found = _cut_blocks(memoryview(raw)) if raw is not None and raw.size >= LENGTH else []
+        for dk, raw in zip(dks, _raw(batch.column("text"), words)):
+            found = _cut_blocks(raw, length) if len(raw) >= length else []
             phrases.append(np.array([p for p, _, _ in found], np.uint64).view(np.int64))
             starts.append(np.array([at for _, at, _ in found], np.int32))
             for p, at, arrays in found:
@@ -153,24 +172,22 @@ def _name_entries(batches):
             yield rows(len(known), given)
 
 
-@lean
-def _name_windows(batches):
-    digest = xxhash.xxh3_64_intdigest
+def _name_windows(batches, words: int | None = None):
+    digest, length = xxhash.xxh3_64_intdigest, CODE * words if words else LENGTH
     for batch in batches:
         keys, places = [], []
-        for text, runs in zip(string_array(batch.column("text")).cast(pa.large_binary()), batch.column("look").to_pylist()):
-            view = memoryview(text.as_buffer())
+        for view, runs in zip(_raw(batch.column("text"), words), batch.column("look").to_pylist()):
             own = sorted({i for r in runs for i in range(r["lo"], r["lo"] + r["n"])})
-            keys.append(np.array([digest(view[i : i + LENGTH], seed=2) for i in own], np.uint64).view(np.int64))
+            keys.append(np.array([digest(view[i : i + length], seed=2) for i in own], np.uint64).view(np.int64))
             places.append(np.array(own, np.int32))
         yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["dk", "key", "at"])
 
 
-def spans(n: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def spans(n: int, runs: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by windows; runs: first window, number."""
     out: list[list[int]] = []
     for lo, k in sorted(runs):
-        a, b = lo, min(n, lo + k - 1 + LENGTH)
+        a, b = lo, min(n, lo + k - 1 + length)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -178,12 +195,22 @@ def spans(n: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut_all(batches, whole_characters: bool = False):
+def word_spans(text: bytes, runs: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes of words covered by strings of so many words; runs
+    as for ``spans``, in the bytes that stand for the words."""
+    places = [m.span() for m in WORD.finditer(text)]
+    whole = [(-(-lo // CODE), (lo + k - 1) // CODE + 1) for lo, k in runs]
+    cover = spans(len(places), [(a, b - a) for a, b in whole if b > a], words)
+    return [(places[a][0], places[b - 1][1]) for a, b in cover]
+
+
+def _cut_all(batches, whole_characters: bool = False, words: int | None = None):
     for batch in batches:
         found, rest = [], []
         raw = string_array(batch.column("text")).cast(pa.large_binary()).to_pylist()
         for text, marks, places in zip(raw, batch.column("marks").to_pylist(), batch.column("places").to_pylist()):
-            own = spans(len(text), [(m["lo"], m["n"]) for m in marks or ()] + [(i, 1) for i in places or ()])
+            runs = [(m["lo"], m["n"]) for m in marks or ()] + [(i, 1) for i in places or ()]
+            own = word_spans(text, runs, words) if words else spans(len(text), runs)
             found.append([{"start": a, "stop": b} for a, b in own])
             ends = [0, *(x for s in own for x in s), len(text)]
             parts = [text[a:b] for a, b in zip(ends[::2], ends[1::2])]
@@ -192,11 +219,11 @@ def _cut_all(batches, whole_characters: bool = False):
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_bytes"), pa.array(found, kind), pa.array(rest, pa.binary())], names=["row", "n_bytes", "spans", "kept"])
 
 
-def _marks(slim: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+def _marks(slim: DataFrame, ws: Workspace, words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``dk, marks``: the runs of repeated windows of each text, and ``dk, look``:
     runs of windows that have to be looked at one by one."""
     spark = slim.sparkSession
-    named = ws.table(slim.mapInArrow(_name_entries, NAMES), "names")
+    named = ws.table(slim.mapInArrow(lean(partial(_name_entries, words=words)), NAMES), "names")
     dictionary = named.where("phrase is not null").select("phrase", "times", "dk", "start", F.inline(F.arrays_zip("core", "whole", "lo", "n")))
     twice = ws.table(dictionary.groupBy("core").agg(F.sum("times").alias("times")).where("times > 1").select("core"), "twice")
     tidy(spark)
@@ -224,7 +251,7 @@ def _marks(slim: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     return marks, look
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", whole_characters: bool = False, words: int | None = None) -> DataFrame:
     """``row, n_bytes, spans, kept`` for each input row.
 
     ``row`` is a struct of the input's columns but the text; ``spans`` are the
@@ -233,6 +260,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", whole_characters: bo
     goes whole), overlaps and repetitions within one text count. A null text
     is empty. Equal rows are rows of their own, so each repeats the other. Any
     further columns may have any names. An empty table gives an empty result.
+
+    With ``words`` strings are of so many words (white space may differ) in
+    place of LENGTH bytes.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -242,12 +272,12 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", whole_characters: bo
     # The key is that of row and text: rows that share it are equal, and so are their marks.
     row = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(0).alias("none"))
     base = docs.select(row.alias("row"), text.alias("text")).withColumn("dk", F.xxhash64(F.to_json("row"), "text"))
-    marks, look = _marks(base.select("dk", "text"), ws)
+    marks, look = _marks(base.select("dk", "text"), ws, words)
     both = ws.table(marks.join(look, "dk", "full"), "both")
     # The one shuffle of texts. Texts without marks are done with.
     all_ = ws.table(base.join(both, "dk", "left").withColumn("n_bytes", F.octet_length("text").cast("long")), "texts")
     hit = all_.where("marks is not null or look is not null")
-    named = ws.table(hit.where("look is not null").select("dk", "text", "look").dropDuplicates(["dk"]).mapInArrow(_name_windows, "dk long, key array<long>, at array<int>"), "windows")
+    named = ws.table(hit.where("look is not null").select("dk", "text", "look").dropDuplicates(["dk"]).mapInArrow(lean(partial(_name_windows, words=words)), "dk long, key array<long>, at array<int>"), "windows")
     twice = ws.table(named.select(F.explode("key").alias("key")).groupBy("key").count().where("count > 1").select("key"), "windows-twice")
     tidy(spark)
     places = named.select("dk", F.inline(F.arrays_zip("key", "at"))).join(twice, "key").groupBy("dk").agg(F.collect_set("at").alias("places"))
@@ -256,7 +286,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", whole_characters: bo
     tidy(spark)
     cut = hit.join(places, "dk", "left").select("row", "n_bytes", "text", "marks", "places")
     schema = all_.select("row", "n_bytes").schema.add("spans", SPANS).add("kept", T.BinaryType())
-    done = cut.mapInArrow(lean(partial(_cut_all, whole_characters=whole_characters)), schema)
+    done = cut.mapInArrow(lean(partial(_cut_all, whole_characters=whole_characters, words=words)), schema)
     rest = all_.where("marks is null and look is null").select("row", "n_bytes", F.array().cast(SPANS).alias("spans"), F.col("text").cast("binary").alias("kept"))
     return done.unionByName(rest)
 
@@ -268,9 +298,9 @@ def op2_pfp_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``; a character that
     a cut would split goes whole. ``n_chars`` follows the text."""
-    found = repeated_spans(docs, whole_characters=True)
+    found = repeated_spans(docs, whole_characters=True, words=words)
     out = found.select("row.*", F.decode("kept", "UTF-8").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)

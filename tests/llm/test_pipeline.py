@@ -69,3 +69,19 @@ def test_run_and_empty(spark, sf_dir, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{none}/{name}.parquet")
     assert p.run(spark, none).count() == 0
+
+
+def test_passages_of_51_words_go(spark, sf_dir):
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    text = lambda k, n=4: " ".join("".join(rng.choice("abcdefghiklmnoprst") for _ in range(n)) for _ in range(k))
+    passage, short, tiny, characters = text(51), text(50, 6), " ".join("abcdefghijklmnopqrst"[k % 20] * (1 + k // 20) for k in range(51)), text(1, 450)
+    own = [text(60) for _ in range(16)]
+    rows = [(2 * i + k, f"{own[4 * i + 2 * k]} {part}\n{own[4 * i + 2 * k + 1]}") for i, part in enumerate((passage, short, tiny, characters)) for k in range(2)]
+    assert len(passage) < 400 and len(short) < 400
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in p.substring_stage(spark, docs, sf_dir).collect()}
+    for i, t in rows:
+        whole = t if i in (2, 3) else f"{own[2 * i]} \n{own[2 * i + 1]}"
+        assert "".join(got[i].split()) == "".join(whole.split())
