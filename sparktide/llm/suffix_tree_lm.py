@@ -3,8 +3,9 @@
 A text is its lower-cased words, each followed by a space, then an end sign.
 The tree holds contexts of up to ``DEPTH`` bytes. A context is retained if the
 next-symbol distribution after it diverges from that after its own longest
-suffix: count times relative entropy, at least ``DIVERGENCE`` nats (the model's
-size is a parameter: the ``CONTEXTS`` of largest divergence). Distributions are
+suffix: count times relative entropy, at least ``DIVERGENCE`` nats. All that pass
+are retained, so the model grows with the corpus; ``contexts`` can bound it to
+those of largest divergence, which no query does. Distributions are
 smoothed by those of the suffix (Witten-Bell), down to the symbol counts with
 additive smoothing. A text is scored by the longest retained suffix at each
 place; the tree is compiled into an automaton, and many stretches of text go
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from ._common import Workspace, lean, read_table, small_batches, tidy
 from ._words import coded, string_array, words
 
-DEPTH, CONTEXTS, DIVERGENCE, LEAST_COUNT = 5, 32768, 4.0, 8
+DEPTH, DIVERGENCE, LEAST_COUNT = 5, 4.0, 8
 SPACE, END = 0x20, 0x0A
 #: Values a symbol can have: all bytes but white space, the space and the end sign.
 SYMBOLS = 256 - 6 + 2
@@ -253,7 +254,7 @@ def _levels(counts: DataFrame, ws: Workspace) -> list[DataFrame]:
     return out
 
 
-def fit(counts: DataFrame, ws: Workspace, contexts: int = CONTEXTS) -> Automaton:
+def fit(counts: DataFrame, ws: Workspace, contexts: int | None = None) -> Automaton:
     """The automaton of the corpus whose (DEPTH + 1)-grams are counted."""
     levels = _levels(counts, ws)
     tests = None
@@ -263,15 +264,17 @@ def fit(counts: DataFrame, ws: Workspace, contexts: int = CONTEXTS) -> Automaton
         gain = F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log(F.col("m") / F.col("t"))))
         own = both.groupBy("ctx").agg(gain.alias("gain"), F.max("total").alias("total")).where((F.col("gain") >= DIVERGENCE) & (F.col("total") >= LEAST_COUNT)).select(F.lit(k).alias("k"), "ctx", "gain")
         tests = own if tests is None else tests.unionByName(own)
-    chosen = tests.orderBy(F.desc("gain"), "k", "ctx").limit(contexts).collect()
-    retained = {b""} | {int(r["ctx"]).to_bytes(r["k"], "big")[j:] for r in chosen for j in range(r["k"])}
+    if contexts is not None:
+        tests = tests.orderBy(F.desc("gain"), "k", "ctx").limit(contexts)
+    chosen = tests.select("k", "ctx").toArrow().to_pydict()
+    retained = {b""} | {c.to_bytes(k, "big")[j:] for k, c in zip(chosen["k"], chosen["ctx"]) for j in range(k)}
     table: dict[bytes, dict[int, int]] = {c: {} for c in retained}
     for k in range(DEPTH + 1):
         wanted = [int.from_bytes(c, "big") for c in retained if len(c) == k]
         if wanted:
             from ._common import local_table
 
-            rows = levels[k].join(F.broadcast(local_table(levels[k].sparkSession, {"ctx": wanted}, "ctx long")), "ctx", "left_semi")  # at most DEPTH * contexts
+            rows = levels[k].join(F.broadcast(local_table(levels[k].sparkSession, {"ctx": wanted}, "ctx long")), "ctx", "left_semi")
             rows = rows.select("gram", "n").toArrow().to_pydict()
             for gram, n in zip(rows["gram"], rows["n"]):
                 table[(gram >> 8).to_bytes(k, "big")][gram & 255] = n
@@ -279,7 +282,7 @@ def fit(counts: DataFrame, ws: Workspace, contexts: int = CONTEXTS) -> Automaton
     return compiled(table)
 
 
-def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS) -> DataFrame:
+def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", contexts: int | None = None) -> DataFrame:
     """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
     ``train`` is a condition on the input's columns; the rows that it holds for

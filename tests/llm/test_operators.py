@@ -145,6 +145,22 @@ def test_tree_is_a_distribution_and_takes_the_longest_suffix():
         assert score[k] == pytest.approx(sum(math.log10(p(bytes(data[i - 2 : i]), int(data[i]))) for i in range(a, b)), rel=1e-4)
 
 
+def test_all_contexts_that_pass_are_retained(spark):
+    """More contexts than 32768 pass the test of divergence, and all are states."""
+    from sparktide.llm import suffix_tree_lm as lm
+    from sparktide.llm._common import Workspace
+
+    # Each context of two symbols with its own next symbol, and suffixes that tell nothing.
+    rng = np.random.default_rng(1)
+    a, b = np.meshgrid(np.arange(33, 243), np.arange(33, 243))
+    follow = rng.integers(33, 243, a.size)
+    grams = [(int(x) << 16 | int(y) << 8 | int(z), 20) for x, y, z in zip(a.ravel(), b.ravel(), follow)]
+    counts = spark.createDataFrame(grams, "gram long, n long")
+    model = lm.fit(counts, Workspace(spark, "test"))
+    width = int(model.symbol.max()) + 1
+    assert len(model.log) // width > 44100 > 32768
+
+
 # --- 4 ---
 
 
