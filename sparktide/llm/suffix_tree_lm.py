@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._common import Workspace, lean, read_table, small_batches, tidy
 from ._words import coded, string_array, words
 
-DEPTH, DIVERGENCE, LEAST_COUNT = 5, 4.0, 8
+DEPTH, DIVERGENCE, LEAST_COUNT = 6, 4.0, 8
 SPACE, END = 0x20, 0x0A
 #: Values a symbol can have: all bytes but white space, the space and the end sign.
 SYMBOLS = 256 - 6 + 2

@@ -161,6 +161,22 @@ def test_all_contexts_that_pass_are_retained(spark):
     assert len(model.log) // width > 44100 > 32768
 
 
+def test_contexts_of_six_bytes_tell(spark):
+    """The sixth byte back decides the next one."""
+    import pyarrow as pa
+
+    from sparktide.llm import suffix_tree_lm as lm
+    from sparktide.llm._common import Workspace
+    from sparktide.llm._words import words as split
+
+    keys, n = lm.grams(*lm.stream(*split(pa.array(["xabcdey zabcdew " * 500], pa.large_string()))), np.array([True]))
+    model = lm.fit(spark.createDataFrame(list(zip(keys.tolist(), n.tolist())), "gram long, n long"), Workspace(spark, "test"))
+    state = model.start
+    for byte in b"xabcde":
+        state = model.follow[state + model.symbol[byte]]
+    assert 10 ** model.log[state + model.symbol[ord("y")]] > 0.9 > 0.1 > 10 ** model.log[state + model.symbol[ord("w")]]
+
+
 # --- 4 ---
 
 
