@@ -188,10 +188,12 @@ def _rest(meeting: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
     # Least overlap with a member of no smaller, and with one of no larger difference.
     as_less = F.ceil((F.col("d") + F.when(F.col("linked"), F.greatest("d", "least")).otherwise(F.col("d")) - reach / 7) / 2 - 1e-9)
     as_more = F.ceil(F.col("d") - reach / 7 - 1e-9)
-    ranked = ws.table(ranked.select("c", "e", "node", "n", "label", "linked", "d", (F.col("k") <= F.col("d") - F.greatest(as_less, F.lit(1)) + 1).alias("less"), (F.col("k") <= F.col("d") - F.greatest(as_more, F.lit(1)) + 1).alias("more")), "ranked")
-    less = ranked.where("less").select("c", "e", "node", "n", "label", "linked", "d")
-    more = ranked.where("more").select("c", "e", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"), F.col("linked").alias("xk"), F.col("d").alias("xd"))
-    met = less.join(more, ["c", "e"]).where("label != xl and not (linked and xk) and (d < xd or d = xd and node < x)").where(_near_size("n", "xn"))
+    ranked = ws.table(ranked.select("c", "e", "node", "n", "label", "linked", "d", (F.col("d") - F.col("k")).alias("after"), (F.col("k") <= F.col("d") - F.greatest(as_less, F.lit(1)) + 1).alias("less"), (F.col("k") <= F.col("d") - F.greatest(as_more, F.lit(1)) + 1).alias("more")), "ranked")
+    less = ranked.where("less").select("c", "e", "node", "n", "label", "linked", "d", "after")
+    more = ranked.where("more").select("c", "e", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"), F.col("linked").alias("xk"), F.col("d").alias("xd"), F.col("after").alias("xafter"))
+    # The first shingle that x and y share: what comes after it in both orders must suffice for a link.
+    enough = F.least("after", "xafter") + 1 >= (F.col("d") + F.col("xd") - (F.col("n") + F.col("xn")) / 7) / 2 - 1e-9
+    met = less.join(more, ["c", "e"]).where("label != xl and not (linked and xk) and (d < xd or d = xd and node < x)").where(_near_size("n", "xn") & enough)
     return pairs.unionByName(met.select(*_pair("node", "x"))).distinct()
 
 
