@@ -127,7 +127,7 @@ def _cut_blocks(view: memoryview, length: int = LENGTH) -> list[tuple[int, int,
     return out
 
 
-NAMES = "dk long, phrases array<long>, starts array<int>, phrase long, times long, start int, core array<long>, whole array<long>, lo array<int>, n array<smallint>"
+NAMES = "dk long, phrases array<long>, starts array<array<int>>, phrase long, times long, start int, core array<long>, whole array<long>, lo array<int>, n array<smallint>"
 
 
 def _raw(column, words: int | None):
@@ -144,11 +144,13 @@ def _raw(column, words: int | None):
 
 
 def _name_entries(batches, words: int | None = None):
-    """Two kinds of rows: the parse (dk, phrases, starts) of each text, and the
-    dictionary: each distinct phrase of a batch with a place where it stands."""
+    """Two kinds of rows: the parse (dk, phrases, starts) of each text, its distinct
+    phrases and the places of each (a line that fills a text is one phrase of many
+    places), and the dictionary: each distinct phrase of a batch with one place."""
     length = CODE * words if words else LENGTH
     ints, small = pa.list_(pa.int64()), pa.list_(pa.int32())
-    kinds = (pa.int64(), ints, small, pa.int64(), pa.int64(), pa.int32(), ints, ints, small, pa.list_(pa.int16()))
+    places_kind = pa.list_(small)
+    kinds = (pa.int64(), ints, places_kind, pa.int64(), pa.int64(), pa.int32(), ints, ints, small, pa.list_(pa.int16()))
     names = [part.split()[0] for part in NAMES.split(", ")]
 
     def rows(height, given):
@@ -158,12 +160,14 @@ def _name_entries(batches, words: int | None = None):
         dks, phrases, starts, known = batch.column("dk").to_pylist(), [], [], {}
         for dk, raw in zip(dks, _raw(batch.column("text"), words)):
             found = _cut_blocks(raw, length) if len(raw) >= length else []
-            phrases.append(np.array([p for p, _, _ in found], np.uint64).view(np.int64))
-            starts.append(np.array([at for _, at, _ in found], np.int32))
+            own: dict[int, list[int]] = {}
             for p, at, arrays in found:
+                own.setdefault(p, []).append(at)
                 known.setdefault(p, [0, dk, at, arrays])[0] += 1
+            phrases.append(np.array(list(own), np.uint64).view(np.int64))
+            starts.append(list(own.values()))
         if dks:
-            yield rows(len(dks), {"dk": pa.array(dks, pa.int64()), "phrases": pa.array(phrases, ints), "starts": pa.array(starts, small)})
+            yield rows(len(dks), {"dk": pa.array(dks, pa.int64()), "phrases": pa.array(phrases, ints), "starts": pa.array(starts, places_kind)})
         if known:
             times, places, at, arrays = zip(*known.values())
             core, whole, lo, n = zip(*arrays)
@@ -241,9 +245,9 @@ def _marks(slim: DataFrame, ws: Workspace, words: int | None = None) -> tuple[Da
     look = look.select(F.col("one.dk").alias("dk"), F.struct(F.col("one.lo").alias("lo"), F.col("n").cast("int").alias("n")).alias("run"))
     look = ws.table(look.groupBy("dk").agg(F.collect_set("run").alias("look")), "look")
     ws.drop("entries", "wholes", "open", "wholes-marked", "twice")
-    parse = named.where("phrases is not null").select("dk", F.inline(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("starts").alias("start"))))
-    placed = parse.join(full, "phrase").groupBy("dk").agg(F.collect_set(F.struct("start", "runs")).alias("placed"))
-    moved = F.transform("placed", lambda p: F.transform(p["runs"], lambda r: F.struct((r["lo"] + p["start"]).alias("lo"), r["n"].alias("n"))))
+    parse = named.where("phrases is not null").select("dk", F.inline(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("starts").alias("starts"))))
+    placed = parse.join(full, "phrase").groupBy("dk").agg(F.collect_set(F.struct("starts", "runs")).alias("placed"))
+    moved = F.transform("placed", lambda p: F.flatten(F.transform(p["runs"], lambda r: F.transform(p["starts"], lambda at: F.struct((r["lo"] + at).alias("lo"), r["n"].alias("n"))))))
     marks = placed.select("dk", F.flatten(moved).alias("marks"))
     marks = ws.table(marks, "marks")
     ws.drop("names", "full")
