@@ -26,6 +26,8 @@ WINDOW, LEAST = 13, 10
 BROADCAST_SEEDS = 1_000_000
 #: Hits (an alignment of an item with a text, 20 bytes) up to this number are broadcast; beyond it the join is shuffled.
 BROADCAST_HITS = 500_000
+#: Name of a column that is added and removed.
+KEY = "_decontaminate_row_key"
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -48,10 +50,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     and each benchmark item found in it.
 
     ``matched``: equal words of the best alignment; ``best_window``: the most
-    equal words in a window. Rows with equal ids count as one document. Null or
-    empty texts, and texts or items of fewer than 8 tokens, have no seed and
-    are never contaminated. Other columns are ignored; empty tables give an
-    empty result.
+    equal words in a window. Rows with equal ids count as one document, and so
+    do all rows with a null id. Null or empty texts, and texts or items of fewer
+    than 8 tokens, have no seed and are never contaminated. Texts of any length
+    are searched whole. Other columns are ignored; empty tables give an empty
+    result.
     """
     ws = Workspace(docs.sparkSession, "seeds")
     items = benchmark.select(F.col("item_id"), tokens("text").alias("it"))
@@ -83,8 +86,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no benchmark item contaminates."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that no benchmark item contaminates. A row is known by
+    its id and text: rows with equal or null ids are judged one by one."""
+    keyed = docs.withColumn(KEY, F.struct("doc_id", F.xxhash64("text").alias("text")))
+    found = overlaps(keyed, benchmark, KEY).select(F.col("doc_id").alias("found_key")).distinct()
+    return keyed.join(found, F.col(KEY) == F.col("found_key"), "left_anti").drop(KEY)
 
 
 def op9_spaced_seed_decontamination(spark, sf_dir: str) -> DataFrame:
