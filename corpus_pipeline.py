@@ -4,8 +4,10 @@ A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. All but the
 last return the columns of documents. Null and empty texts pass the filters
 (near duplicates and repeated strings: they have nothing to share; quality:
-they get the share of good labels), repeated rows share their fate, an empty
-table goes through to an empty result.
+they get the share of good labels). A null id is an id like any other: rows
+are judged by id and text together, so rows with equal or null ids don't share
+their fate. Of rows equal in id and text one is left by the second stage. An
+empty table goes through to an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from sparktide.llm import decontaminate, near_dedup, packing, quality, substring_dedup
 from sparktide.llm._common import Workspace, read_table
 
+#: Name of a column that a stage adds and removes.
+KEY = "_pipeline_row_key"
 #: Words of the shortest passage that may not repeat.
 WORDS = 51
 
@@ -26,9 +30,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (10): the smallest id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near duplicates (10): the smallest id. A row is
+    known by its id and text, so rows of equal or null ids are judged one by one; a
+    null id is larger than any other."""
+    keyed = docs.withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")))
+    kept = near_dedup.near_duplicates(keyed, KEY).where("kept").select(F.col("doc_id").alias("kept_key")).distinct()
+    return keyed.join(kept, F.col(KEY) == F.col("kept_key"), "left_semi").dropDuplicates([KEY]).drop(KEY)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
