@@ -5,11 +5,13 @@ The tree holds contexts of up to ``DEPTH`` bytes. A context is retained if the
 next-symbol distribution after it diverges from that after its own longest
 suffix: count times relative entropy, at least ``DIVERGENCE`` nats. All that pass
 are retained, so the model grows with the corpus; ``contexts`` can bound it to
-those of largest divergence, which no query does. Distributions are
+those of largest divergence, which no query does. Contexts seen fewer than
+``LEAST_COUNT`` times give no evidence and are not tested. Distributions are
 smoothed by those of the suffix (Witten-Bell), down to the symbol counts with
 additive smoothing. A text is scored by the longest retained suffix at each
 place; the tree is compiled into an automaton, and many stretches of text go
-through it in step.
+through it in step. A tree that outgrows a broadcast is dealt by the last two
+bytes of its contexts into parts that don't, and each text is read for each part.
 
 Corpus counts are exact. One pass over the texts yields, per block of documents,
 the counts of (DEPTH + 1)-grams and of distinct words; both are summed by
@@ -38,7 +40,11 @@ SYMBOLS = 256 - 6 + 2
 ADDITIVE = 0.5
 STRETCH = 512
 #: Documents of a block, documents laid out as bytes at a time, and grams held before they are handed on.
-BLOCK_ROWS, PART_ROWS, HELD = 2000, 200, 1 << 20
+BLOCK_ROWS, PART_ROWS, HELD = 2000, 200, 1 << 21
+#: Cells of the largest automaton (8 bytes each) that is broadcast: its states, about as
+#: many as contexts, times its symbols. A larger tree is scored in parts of at most
+#: about PART_GRAMS counts (20 bytes each), one after the other.
+CELLS, PART_GRAMS = 8_000_000, 6_000_000
 END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 
 
@@ -167,42 +173,49 @@ class Automaton:
 
 def compiled(retained: dict[bytes, dict[int, int]]) -> Automaton:
     """The automaton of a suffix-closed set of contexts with next-symbol counts."""
-    root = retained.get(b"", {})
-    seen = sorted(set(root) | {SPACE, END})
+    rows = [(len(c), int.from_bytes(c, "big"), x, n) for c, own in retained.items() for x, n in own.items()]
+    return automaton(*(np.array(column, np.int64) for column in (zip(*rows) if rows else [()] * 4)))
+
+
+def automaton(k: np.ndarray, ctx: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> Automaton:
+    """As ``compiled``, of rows: context length, context, next symbol, count. States
+    are the contexts and their prefixes, level by level; a prefix that is no context
+    has the distribution of its suffix."""
+    seen = np.unique(np.concatenate([symbol[k == 0], [SPACE, END]])).astype(np.int64)
     width = len(seen) + 1
-    symbol = np.full(256, width - 1, np.int16)
-    symbol[seen] = np.arange(len(seen))
-    states = sorted({c[:k] for c in retained for k in range(len(c) + 1)} | {b""}, key=lambda c: (len(c), c))
-    number = {c: i for i, c in enumerate(states)}
-    follow = np.zeros((len(states), width), np.int32)
-    prob = np.zeros((len(states), width))
-    children: dict[bytes, list[bytes]] = {}
-    for c in states[1:]:
-        children.setdefault(c[:-1], []).append(c)
-    for i, c in enumerate(states):
-        suffix = c[1:]
-        while c and suffix not in number:
-            suffix = suffix[1:]
-        up = number[suffix] if c else -1
-        counts = np.zeros(width)
-        for byte, n in retained.get(c, {}).items():
-            counts[symbol[byte]] = n
-        if up < 0:
-            prob[i] = (counts + ADDITIVE) / (counts.sum() + ADDITIVE * SYMBOLS)
-        elif c in retained:
-            spread = max(1, np.count_nonzero(counts))
-            prob[i] = (counts + spread * prob[up]) / (counts.sum() + spread)
+    code = np.full(256, width - 1, np.int16)
+    code[seen] = np.arange(len(seen))
+    deepest = int(k.max(initial=0))
+    states, closed = [], np.zeros(0, np.int64)
+    for level in range(deepest, -1, -1):  # a prefix of a state is a state
+        closed = np.unique(np.concatenate([ctx[k == level], closed >> 8, np.zeros(int(level == 0), np.int64)]))
+        states.insert(0, closed)
+    base = np.concatenate([[0], np.cumsum([len(own) for own in states])])
+    follow, log = np.zeros((base[-1], width), np.int32), np.zeros((base[-1], width), np.float32)
+    for level, own in enumerate(states):
+        at = slice(base[level], base[level + 1])
+        rows = k == level
+        place, x, times = np.searchsorted(own, ctx[rows]), code[symbol[rows]], n[rows]
+        total = np.bincount(place, times, minlength=len(own)).astype(np.float32)
+        if level == 0:
+            log[at] = ADDITIVE / (total[0] + ADDITIVE * SYMBOLS)
+            log[0, x] = (times + ADDITIVE) / (total[0] + ADDITIVE * SYMBOLS)
         else:
-            prob[i] = prob[up]
-        if up >= 0:
-            follow[i] = follow[up]
-        for child in children.get(c, ()):
-            follow[i, symbol[child[-1]]] = number[child]
-    log = np.log10(prob).astype(np.float32)
+            up = base[level - 1] + np.searchsorted(states[level - 1], own & ((1 << 8 * (level - 1)) - 1))
+            follow[at] = follow[up]
+            spread = np.bincount(place, minlength=len(own)).astype(np.float32)
+            log[at] = log[up]
+            log[at] *= (np.maximum(spread, 1e-30) / np.maximum(total + spread, 1e-30))[:, None]
+            log[base[level] + place, x] += times / (total + spread)[place]
+        if level < deepest:
+            after = states[level + 1]
+            follow[base[level] + np.searchsorted(own, after >> 8), code[after & 255]] = base[level + 1] + np.arange(len(after))
+    np.log10(log, out=log)
     state = 0
     for _ in range(DEPTH):
-        state = follow[state, symbol[END]]
-    return Automaton(symbol, log.ravel(), follow.ravel() * np.int32(width), int(state) * width)
+        state = follow[state, code[END]]
+    follow *= np.int32(width)
+    return Automaton(code, log.ravel(), follow.ravel(), int(state) * width)
 
 
 def log10_probabilities(model: Automaton, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -244,42 +257,129 @@ def _scores(shared):
     return run
 
 
-def _levels(counts: DataFrame, ws: Workspace) -> list[DataFrame]:
-    """For each context length k ``gram, n, ctx, total``; gram: context and next symbol."""
-    out = []
-    for k in range(DEPTH + 1):
-        own = counts if k == DEPTH else counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        own = own.withColumn("ctx", F.shiftright("gram", 8))
-        out.append(ws.table(own.join(own.groupBy("ctx").agg(F.sum("n").alias("total")), "ctx").select("gram", "n", "ctx", "total"), f"level{k}"))
+@dataclass
+class Sparse:
+    """A part of a tree that is too large for an automaton: for each context length
+    the contexts in order, their totals and numbers of symbols, the grams in order
+    and their counts."""
+
+    part: int
+    parts: int
+    levels: list[tuple[np.ndarray, ...]]
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """Log10 probability of the last symbol of each (DEPTH + 1)-gram."""
+        p = None
+        for k, (contexts, total, spread, own, times) in enumerate(self.levels):
+            at = np.minimum(np.searchsorted(own, gram := keys & ((1 << 8 * (k + 1)) - 1)), max(0, len(own) - 1))
+            n = np.where(own[at] == gram, times[at], 0) if len(own) else np.zeros(len(keys))
+            if p is None:
+                p = (n + ADDITIVE) / (times.sum() + ADDITIVE * SYMBOLS)
+            elif len(contexts):
+                at = np.minimum(np.searchsorted(contexts, c := gram >> 8), len(contexts) - 1)
+                p = np.where(contexts[at] == c, (n + spread[at] * p) / (total[at] + spread[at]), p)
+        return np.log10(p)
+
+
+def sparse(part: int, parts: int, k: np.ndarray, ctx: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> Sparse:
+    levels = []
+    for level in range(DEPTH + 1):
+        rows = k == level
+        gram = ctx[rows] << 8 | symbol[rows]
+        order = np.argsort(gram)
+        gram, times = gram[order], n[rows][order].astype(np.float64)
+        contexts, head = np.unique(gram >> 8, return_index=True)
+        total = np.add.reduceat(times, head) if len(head) else times
+        levels.append((contexts, total, np.diff(np.append(head, len(gram))).astype(np.float64), gram, times))
+    return Sparse(part, parts, levels)
+
+
+def part_of(ctx, parts: int):
+    """The part of a context of two bytes and more (a column or numbers): its last two bytes tell."""
+    two = ctx.bitwiseAND(65535) if hasattr(ctx, "bitwiseAND") else ctx & 65535
+    return two * 40503 % 65521 % parts
+
+
+def _part_scores(shared):
+    @lean
+    def run(batches):
+        model = shared.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, PART_ROWS):
+                batch = whole.slice(a, PART_ROWS)
+                data, starts = stream(*words(string_array(batch.column("text"))))
+                keys = np.zeros(max(0, len(data) - DEPTH), np.int64)
+                for j in range(DEPTH + 1):
+                    keys = keys << 8 | data[j : j + len(keys)]
+                text = np.searchsorted(starts, np.arange(len(keys)) + DEPTH, side="right") - 1
+                # The end signs before the next text are no symbols of this one.
+                own = (np.arange(len(keys)) + DEPTH < starts[1:][text] - DEPTH) & (part_of(keys >> 8, model.parts) == model.part)
+                found, place = np.unique(keys[own], return_inverse=True)
+                score = np.bincount(text[own], model.log10(found)[place], minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(score)], names=["dk", "score"])
+
+    return run
+
+
+def _cut(column, level):
+    """The last ``level`` bytes of a gram."""
+    return column.bitwiseAND(F.expr(f"shiftleft(1L, 8 * ({level})) - 1"))
+
+
+def tree(counts: DataFrame, ws: Workspace, contexts: int | None = None) -> DataFrame:
+    """``k, ctx, symbol, n``: the next-symbol counts of the retained contexts, k
+    bytes long, of the corpus whose (DEPTH + 1)-grams are counted."""
+    own, levels = counts, None
+    for k in range(DEPTH, -1, -1):
+        if k < DEPTH:
+            own = own.groupBy(_cut(F.col("gram"), k + 1).alias("gram")).agg(F.sum("n").alias("n"))
+            if k == DEPTH - 1:
+                own = ws.table(own, "shorter")
+        each = own.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("gram", "n")).alias("own"))
+        # No suffix of a context is rarer than it.
+        each = each.where(F.col("total") >= (LEAST_COUNT if k else 0)).select(F.lit(k).alias("k"), "ctx", "total", F.inline("own"))
+        levels = each if levels is None else levels.unionByName(each)
+    levels = ws.table(levels, "levels")
+    lower = levels.select((F.col("k") + 1).alias("k"), F.col("gram").alias("g"), F.col("n").alias("m"), F.col("total").alias("t"))
+    both = levels.where("k > 0").withColumn("g", _cut(F.col("gram"), "k")).join(lower, ["k", "g"])
+    gain = F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log(F.col("m") / F.col("t"))))
+    passed = both.groupBy("k", "ctx").agg(gain.alias("gain")).where(F.col("gain") >= DIVERGENCE)
+    if contexts is not None:
+        passed = passed.orderBy(F.desc("gain"), "k", "ctx").limit(contexts)
+    kept = passed.select("ctx", F.explode(F.sequence(F.lit(1), "k")).alias("k")).select("k", _cut(F.col("ctx"), "k").alias("ctx")).distinct()
+    rows = levels.where("k > 0").join(kept, ["k", "ctx"], "left_semi").unionByName(levels.where("k = 0"))
+    out = ws.table(rows.select("k", "ctx", F.col("gram").bitwiseAND(255).alias("symbol"), "n"), "tree")
+    ws.drop("levels", "shorter")
     return out
 
 
+def _arrays(rows: DataFrame) -> list[np.ndarray]:
+    table = rows.select("k", "ctx", "symbol", "n").toArrow()
+    return [table.column(c).to_numpy().astype(np.int64) for c in ("k", "ctx", "symbol", "n")]
+
+
 def fit(counts: DataFrame, ws: Workspace, contexts: int | None = None) -> Automaton:
     """The automaton of the corpus whose (DEPTH + 1)-grams are counted."""
-    levels = _levels(counts, ws)
-    tests = None
-    for k in range(1, DEPTH + 1):
-        lower = levels[k - 1].select(F.col("gram").alias("g"), F.col("n").alias("m"), F.col("total").alias("t"))
-        both = levels[k].join(lower, F.col("gram").bitwiseAND((1 << 8 * k) - 1) == F.col("g"))
-        gain = F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log(F.col("m") / F.col("t"))))
-        own = both.groupBy("ctx").agg(gain.alias("gain"), F.max("total").alias("total")).where((F.col("gain") >= DIVERGENCE) & (F.col("total") >= LEAST_COUNT)).select(F.lit(k).alias("k"), "ctx", "gain")
-        tests = own if tests is None else tests.unionByName(own)
-    if contexts is not None:
-        tests = tests.orderBy(F.desc("gain"), "k", "ctx").limit(contexts)
-    chosen = tests.select("k", "ctx").toArrow().to_pydict()
-    retained = {b""} | {c.to_bytes(k, "big")[j:] for k, c in zip(chosen["k"], chosen["ctx"]) for j in range(k)}
-    table: dict[bytes, dict[int, int]] = {c: {} for c in retained}
-    for k in range(DEPTH + 1):
-        wanted = [int.from_bytes(c, "big") for c in retained if len(c) == k]
-        if wanted:
-            from ._common import local_table
-
-            rows = levels[k].join(F.broadcast(local_table(levels[k].sparkSession, {"ctx": wanted}, "ctx long")), "ctx", "left_semi")
-            rows = rows.select("gram", "n").toArrow().to_pydict()
-            for gram, n in zip(rows["gram"], rows["n"]):
-                table[(gram >> 8).to_bytes(k, "big")][gram & 255] = n
-    ws.drop(*(f"level{k}" for k in range(DEPTH + 1)))
-    return compiled(table)
+    return automaton(*_arrays(tree(counts, ws, contexts)))
+
+
+def _scored(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """``base`` without its text, with the score of each row under the tree."""
+    spark = base.sparkSession
+    size, contexts, symbols = rows.agg(F.count("*"), F.count_distinct("k", "ctx"), F.count_distinct("symbol")).first()
+    if contexts * (symbols + 1) <= CELLS:
+        shared = spark.sparkContext.broadcast(automaton(*_arrays(rows)))
+        keep = [f"{n} {t}" for n, t in base.dtypes if n != "text"]
+        return base.mapInArrow(_scores(shared), ", ".join([*keep, "score double"]))
+    parts, each = -(-size // PART_GRAMS), None
+    for part in range(parts):
+        own = rows.where((F.col("k") < 2) | (part_of(F.col("ctx"), parts) == part))
+        shared = spark.sparkContext.broadcast(sparse(part, parts, *_arrays(own)))
+        found = base.select("dk", "text").mapInArrow(_part_scores(shared), "dk long, score double").withColumn("part", F.lit(part))
+        each = found if each is None else each.unionByName(found)
+    # Repeated rows have equal scores.
+    total = each.groupBy("dk", "part").agg(F.first("score").alias("score")).groupBy("dk").agg(F.sum("score").alias("score"))
+    return base.drop("text").join(total, "dk")
 
 
 def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", contexts: int | None = None) -> DataFrame:
@@ -296,7 +396,7 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("dk", F.xxhash64("doc_id", "text"))
     found = ws.table(base.select("dk", "train", "text").mapInArrow(_survey, "block long, word long, pos int, n long, gram long, blob binary"), "survey")
-    model = fit(ws.table(found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams"), ws, contexts)
+    rows = tree(ws.table(found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams"), ws, contexts)
     ws.drop("grams")
     tidy(spark)
     word = found.where("word is not null")
@@ -311,8 +411,7 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     small_batches(spark)
     ws.drop("survey", "words")
     tidy(spark)
-    shared = spark.sparkContext.broadcast(model)
-    scored = base.mapInArrow(_scores(shared), "doc_id " + dict(base.dtypes)["doc_id"] + ", train boolean, dk long, score double")
+    scored = _scored(base, rows)
     return scored.join(bases, "dk").select("doc_id", "train", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -177,6 +177,21 @@ def test_contexts_of_six_bytes_tell(spark):
     assert 10 ** model.log[state + model.symbol[ord("y")]] > 0.9 > 0.1 > 10 ** model.log[state + model.symbol[ord("w")]]
 
 
+def test_trees_that_outgrow_a_broadcast_are_scored_in_parts(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sparktide.llm import suffix_tree_lm as lm
+
+    train = F.col("doc_id") % 5 != 0
+    whole = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, train).collect()}
+    monkeypatch.setattr(lm, "CELLS", 0)
+    monkeypatch.setattr(lm, "PART_GRAMS", 2000)
+    parts = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, train).collect()}
+    assert parts.keys() == whole.keys()
+    for k, v in whole.items():
+        assert parts[k] == pytest.approx(v, rel=1e-4)
+
+
 # --- 4 ---
 
 
