@@ -10,6 +10,11 @@ repeated string. What such strings cover is boilerplate, on every page of the
 host and inside ``article`` and ``main`` too; unique runs stay. Pages of a host
 with equal main text are one page: they repeat nothing for each other.
 
+Most strings stand on one page, and no array needs them: a first pass counts names
+of few bits over all pages (a string that is on two pages is never missed, one of
+some 256 others is kept in vain), and only the runs of tokens that strings of such
+names cover go into the arrays.
+
 A host of many tokens has an array for each ``ARRAY`` tokens. Its arrays count the
 pages of each of their strings, and the counts are added up by name (a 64-bit
 hash), so what repeats is found on the host as a whole, however it is dealt.
@@ -37,6 +42,10 @@ from ._common import Workspace, lean, read_table, small_batches, tidy
 from ._words import mixed, shingle_hashes, string_array, word_hashes
 
 LONG, ARRAY, COPY = 8, 500_000, 0.6
+#: Pages whose strings are named at a time, strings held before they are handed on, and strings of a bucket.
+SLICE, HELD, NAMED = 500, 1 << 21, 4_000_000
+#: Names of strings that can repeat up to this number are broadcast (8 bytes each); beyond it they are joined.
+KNOWN = 8_000_000
 
 RAW = "script|style|noscript|template|iframe|object|svg|select|textarea|title|button|xmp"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S | re.I)
@@ -191,6 +200,185 @@ def window_names(hashes: np.ndarray) -> np.ndarray:
     return mixed(shingle_hashes(hashes, LONG))
 
 
+# --- which strings can repeat: names of few bits, counted over all pages -----
+
+
+def _runs(batch):
+    """The words of each row's main text and of what was left out (two runs a row),
+    where the runs end, and of each string of LONG words: its place, run and name."""
+    main = [" ".join(t) for t in batch.column("texts").to_pylist()]
+    other = string_array(batch.column("others")).to_pylist()
+    hashes, ends = word_hashes(pa.array([x for pair in zip(main, other) for x in pair], pa.large_string()), lower=False)
+    n = np.maximum(np.diff(ends) - LONG + 1, 0)
+    run = np.repeat(np.arange(len(n)), n)
+    place = ends[:-1][run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    salt = np.array([xxhash.xxh3_64_intdigest(h) for h in batch.column("host").to_pylist()], np.uint64)
+    names = window_names(hashes)[place] if len(place) else np.zeros(0, np.uint64)
+    return hashes, ends, place, run, mixed(names ^ salt[run // 2])
+
+
+def _slices(batches):
+    for whole in batches:
+        for a in range(0, whole.num_rows, SLICE):
+            yield whole.slice(a, SLICE)
+
+
+def packed_steps(values: np.ndarray) -> bytes:
+    """Ascending numbers as steps of 16 bits; larger ones stand at the end."""
+    step = np.diff(values, prepend=values[:1] * 0)
+    long = step >= 0xFFFF
+    return np.where(long, 0xFFFF, step).astype("<u2").tobytes() + step[long].astype("<u8").tobytes()
+
+
+def unpacked_steps(data: bytes, n: int) -> np.ndarray:
+    step = np.frombuffer(data, "<u2", n).astype(np.uint64)
+    step[step == 0xFFFF] = np.frombuffer(data, "<u8", offset=2 * n)
+    return np.cumsum(step, dtype=np.uint64)
+
+
+def _sketch(bits: int, buckets: int):
+    """``bucket, n, names, several``: the distinct names of many pages, cut to
+    ``bits``, in ascending order, and which of them are on several of these pages.
+    A name's first bits are its bucket."""
+    low = np.uint64(bits - buckets)
+
+    @lean
+    def run(batches):
+        held, size = [], 0
+
+        def rows():
+            value, content = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(value, kind="stable")
+            value, content = value[order], content[order]
+            head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            other = np.concatenate([[False], (value[1:] == value[:-1]) & (content[1:] != content[:-1])])
+            several, value = np.maximum.reduceat(other, head), value[head]
+            bucket, rest = (value >> low).astype(np.int64), value & ((np.uint64(1) << low) - np.uint64(1))
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(value)]))
+            names = [packed_steps(rest[a:b]) for a, b in cuts]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket[first]), pa.array([b - a for a, b in cuts], pa.int32()), pa.array(names, pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in cuts], pa.binary())],
+                names=["bucket", "n", "names", "several"],
+            )
+
+        for batch in _slices(batches):
+            _, _, _, own, names = _runs(batch)
+            held.append((names >> np.uint64(64 - bits), batch.column("content").to_numpy()[own // 2]))
+            size += len(names)
+            if size > HELD:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
+
+    return run
+
+
+def _several(bits: int, buckets: int):
+    """The names of a bucket that are on several pages."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values, several = [], []
+        for n, names, flags in zip(*(table.column(c).to_pylist() for c in ("n", "names", "several"))):
+            values.append(unpacked_steps(names, n))
+            several.append(values[-1][np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool)])
+        value = np.sort(np.concatenate(values))
+        found = np.unique(np.concatenate([value[1:][value[1:] == value[:-1]], *several]))
+        found |= np.uint64(table.column("bucket")[0].as_py()) << np.uint64(bits - buckets)
+        return pa.table({"names": pa.array([found.view(np.int64)], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _exploded(bits: int):
+    """``rid, at, name``: a row for each string."""
+
+    @lean
+    def run(batches):
+        for batch in _slices(batches):
+            _, _, _, own, names = _runs(batch)
+            row = own // 2
+            at = np.arange(len(row)) - np.searchsorted(row, row)
+            rid = batch.column("rid").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at.astype(np.int32)), pa.array((names >> np.uint64(64 - bits)).view(np.int64))], names=["rid", "at", "name"])
+
+    return run
+
+
+STREAM = "host string, content long, size int, mains int, starts array<int>, lengths array<int>, words binary"
+
+
+def _repeating(shared, bits: int):
+    """The runs of words that strings with names in ``shared`` cover (strings at
+    ``hits`` where that is None), of each row with such strings: ``mains`` runs of
+    the main text, then of what was left out."""
+
+    @lean
+    def run(batches):
+        known = None if shared is None else shared.value
+        for batch in _slices(batches):
+            hashes, ends, place, own, names = _runs(batch)
+            if known is not None:
+                value = names >> np.uint64(64 - bits)
+                at = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
+                hit = known[at] == value if len(known) else np.zeros(len(value), bool)
+            else:
+                hit, first = np.zeros(len(own), bool), np.searchsorted(own, 2 * np.arange(batch.num_rows))
+                for a, own_hits in zip(first.tolist(), batch.column("hits").to_pylist()):
+                    hit[a + np.asarray(own_hits, np.int64)] = True
+            gone = np.zeros(len(hashes) + 1, np.int64)
+            gone[: len(hashes)] += np.bincount(place[hit], minlength=len(hashes))
+            gone -= np.bincount(place[hit] + LONG, minlength=len(gone))
+            inside = np.cumsum(gone)[:-1] > 0
+            edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+            # A run of words ends where the row's text does.
+            edge = np.unique(np.concatenate([[0], edge, ends[:-1][np.diff(ends) > 0], [len(hashes)]]))
+            start, stop = edge[:-1], edge[1:]
+            keep = inside[start] if len(hashes) else np.zeros(0, bool)
+            start, stop = start[keep], stop[keep]
+            of = np.searchsorted(ends, start, side="right") - 1
+            relative, length = (start - ends[of]).astype(np.int32), (stop - start).astype(np.int32)
+            rows, head = np.unique(of // 2, return_index=True)
+            cuts = list(zip(head.tolist(), [*head[1:].tolist(), len(of)]))
+            small = pa.list_(pa.int32())
+            data = [np.concatenate([hashes[x:y] for x, y in zip(start[a:b].tolist(), stop[a:b].tolist())]).astype("<u8").tobytes() for a, b in cuts]
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("host").take(take), batch.column("content").take(take), pa.array(np.diff(ends)[2 * rows].astype(np.int32)), pa.array([int((of[a:b] % 2 == 0).sum()) for a, b in cuts], pa.int32()),
+                    pa.array([relative[a:b] for a, b in cuts], small), pa.array([length[a:b] for a, b in cuts], small), pa.array(data, pa.binary()),
+                ],
+                names=["host", "content", "size", "mains", "starts", "lengths", "words"],
+            )
+
+    return run
+
+
+def _streams(parsed: DataFrame, ws: Workspace) -> DataFrame:
+    """The token streams of all pages without what cannot repeat (STREAM)."""
+    spark = parsed.sparkSession
+    pages = parsed.where((F.size("texts") > 0) | (F.col("others") != "")).select("rid", "host", "content", "texts", "others")
+    total = pages.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)) + F.length("others"))).first()[0] or 0
+    bits = min(64, max(8, int(total // 4).bit_length() + 8))  # a name of one page is like another's about once in 256 times
+    buckets = max(0, (int(total // 4) // NAMED).bit_length())
+    sketch = ws.table(pages.mapInArrow(_sketch(bits, buckets), "bucket long, n int, names binary, several binary"), "sketch")
+    tidy(spark)
+    known = ws.table(sketch.groupBy("bucket").applyInArrow(_several(bits, buckets), "names array<long>"), "known")
+    ws.drop("sketch")
+    tidy(spark)
+    size = known.agg(F.coalesce(F.sum(F.size("names")), F.lit(0))).first()[0]
+    if size <= KNOWN:
+        lists = known.toArrow().column("names").to_pylist() if size else []
+        shared = spark.sparkContext.broadcast(np.sort(np.array([x for own in lists for x in own], np.int64).view(np.uint64)))
+        return pages.mapInArrow(_repeating(shared, bits), STREAM)
+    hits = pages.mapInArrow(_exploded(bits), "rid long, at int, name long").join(known.select(F.explode("names").alias("name")), "name")
+    hits = ws.table(hits.groupBy("rid").agg(F.collect_list("at").alias("hits")), "places")
+    return pages.join(hits, "rid").mapInArrow(_repeating(None, bits), STREAM)
+
+
+# --- suffix arrays of hosts ----------------------------------------------------
+
 HITS = "content long, size int, names array<long>, at array<int>, name long, pages int"
 
 
@@ -199,37 +387,37 @@ def _arrays(table: pa.Table) -> pa.Table:
     in this array, with their names. Where the host has further arrays, also each
     string's name and number of pages; with one page, its places in the main text."""
     table = table.sort_by("content")
-    contents, page_of = np.unique(table.column("content").to_numpy(), return_inverse=True)
-    once = np.concatenate([[0], np.flatnonzero(page_of[1:] != page_of[:-1]) + 1])
-    # Page by page: the main text, then what was left out of each of its rows.
-    kept, others = string_array(table.column("text")).to_pylist(), string_array(table.column("others")).to_pylist()
-    runs, page, main = [], [], []
-    for p, (a, b) in enumerate(zip(once.tolist(), [*once[1:].tolist(), len(kept)])):
-        own = [kept[a], *others[a:b]]
-        main.append(len(runs))
-        runs += own
-        page += [p] * len(own)
-    hashes, ends = word_hashes(pa.array(runs, pa.large_string()), lower=False)
-    run = np.repeat(np.arange(len(runs)), np.diff(ends))
-    order, heads, pages = string_pages(hashes, np.array(page)[run], run)
-    places = np.sort(order[np.repeat(pages > 1, np.diff(heads))])
-    names = mixed(window_names(hashes) ^ np.uint64(xxhash.xxh3_64_intdigest(table.column("host")[0].as_py()))).view(np.int64)
-    lo, hi = ends[:-1][main], ends[1:][main]
-    own = [places[a:b] for a, b in zip(np.searchsorted(places, lo), np.searchsorted(places, hi))]
+    contents, once, page_of = np.unique(table.column("content").to_numpy(), return_index=True, return_inverse=True)
+    hashes = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("words").to_pylist()])
+    starts, lengths = (table.column(c).to_pylist() for c in ("starts", "lengths"))
+    # Page by page; of rows with equal main texts the first one's main text counts.
+    runs = [(p, s if k < mains and r == first else -1, n if k >= mains or r == first else 0) for r, (p, first, mains) in enumerate(zip(page_of.tolist(), once[page_of].tolist(), table.column("mains").to_pylist())) for k, (s, n) in enumerate(zip(starts[r], lengths[r]))]
+    page, start, use = (np.array(x, np.int64) for x in zip(*runs))
+    length = np.concatenate([np.asarray(x, np.int64) for x in lengths])
+    hashes = hashes[np.repeat(use > 0, length)]
+    page, start, length = page[use > 0], start[use > 0], length[use > 0]
+    run = np.repeat(np.arange(len(length)), length)
+    place = np.where(start[run] >= 0, start[run] + np.arange(len(run)) - (np.cumsum(length) - length)[run], -1)  # in the main text
+    order, heads, pages = string_pages(hashes, page[run], run)
+    host = np.uint64(xxhash.xxh3_64_intdigest(table.column("host")[0].as_py()))
+    names = mixed(window_names(hashes) ^ host).view(np.int64) if len(hashes) >= LONG else np.zeros(0, np.int64)
     ints, small = pa.list_(pa.int64()), pa.list_(pa.int32())
     n = len(contents)
-    given = [pa.array(contents), pa.array((hi - lo).astype(np.int32)), pa.array([names[x] for x in own], ints), pa.array([(x - a).astype(np.int32) for x, a in zip(own, lo)], small), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
+    places = np.sort(order[np.repeat(pages > 1, np.diff(heads))])
+    places = places[place[places] >= 0]
+    cuts = np.searchsorted(page[run][places], np.arange(n + 1))
+    own = [places[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    size = table.column("size").to_numpy()[once]
+    given = [pa.array(contents), pa.array(size), pa.array([names[x] for x in own], ints), pa.array([place[x].astype(np.int32) for x in own], small), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
     out = pa.table(given, names=["content", "size", "names", "at", "name", "pages"])
     if table.column("arrays")[0].as_py() == 1 or not len(pages):
         return out
     n = len(pages)
-    single = np.repeat(pages == 1, np.diff(heads))
-    of = np.array(page)[run[order]]
-    inside = single & (order >= lo[of]) & (order < hi[of])  # the main text is the first run of a page
+    inside = np.repeat(pages == 1, np.diff(heads)) & (place[order] >= 0)
     string = np.repeat(np.arange(n), np.diff(heads))
-    at = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(string[inside], minlength=n))]).astype(np.int32), (order - lo[of])[inside].astype(np.int32))
-    some = np.bincount(string[inside], minlength=n) > 0
-    content = pa.array(contents[of[heads[:-1]]], mask=~some)
+    some = np.bincount(string[inside], minlength=n)
+    at = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some)]).astype(np.int32), place[order][inside].astype(np.int32))
+    content = pa.array(contents[page[run[order[heads[:-1]]]]], mask=some == 0)
     more = pa.table([content, pa.nulls(n, pa.int32()), pa.nulls(n, ints), at, pa.array(names[order[heads[:-1]]]), pa.array(pages.astype(np.int32))], names=out.column_names)
     return pa.concat_tables([out, more])
 
@@ -287,13 +475,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in others))
     base = pages.select(row.alias("row"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     schema = base.select("row").schema.add("host", "string").add("content", "long").add("texts", _ddl("array<string>")).add("others", "string")
-    parsed = ws.table(base.mapInArrow(_parse, schema), "parsed")
-    text = F.array_join("texts", " ")
-    tokens = F.size(F.split(text, " ")) + F.size(F.split("others", r"\s+"))
-    streams = parsed.where((F.size("texts") > 0) | (F.col("others") != "")).select("host", "content", text.alias("text"), "others", tokens.alias("n"))
-    hosts = ws.table(streams.groupBy("host").agg(F.ceil(F.sum("n") / ARRAY).alias("arrays"), F.count("*").alias("pages")).where("pages > 1").select("host", "arrays"), "hosts")
-    dealt = streams.join(hosts, "host").select("host", F.pmod("content", "arrays").alias("part"), "arrays", "content", "text", "others")
+    parsed = ws.table(base.mapInArrow(_parse, schema).withColumn("rid", F.monotonically_increasing_id()), "parsed")
+    streams = ws.table(_streams(parsed, ws), "streams")
+    hosts = streams.groupBy("host").agg(F.ceil(F.sum(F.octet_length("words")) / 8 / ARRAY).alias("arrays"))
+    dealt = streams.join(hosts, "host").withColumn("part", F.pmod("content", "arrays"))
     found = ws.table(dealt.groupBy("host", "part").applyInArrow(_arrays, HITS), "found")
+    ws.drop("streams", "known", "places")
     tidy(spark)
     names = found.where("name is not null")
     # A string has at most one row an array.
@@ -302,7 +489,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     hits = found.where("name is null").select("content", "size", "names", "at").unionByName(split)
     hits = hits.groupBy("content").agg(F.max("size").alias("size"), F.flatten(F.collect_list("names")).alias("names"), F.flatten(F.collect_list("at")).alias("at")).where("size(at) > 0")
     hits = ws.table(hits.mapInArrow(_own, "content long, names array<long>, at array<int>, own boolean"), "hits")
-    ws.drop("hosts", "found")
+    ws.drop("found")
     tidy(spark)
     # Names hold the host's. What copies have in common with two texts of their own:
     each = hits.select("own", F.explode(F.array_distinct("names")).alias("name"))

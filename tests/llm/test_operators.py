@@ -263,6 +263,40 @@ def test_strings_of_large_hosts(spark, monkeypatch):
         assert all(r.text == r.row.want for r in html_text.main_texts(pages).collect())
 
 
+def test_main_texts_by_brute_force(spark, monkeypatch):
+    """Every string of LONG words that two pages of a host share goes, however names are held."""
+    import random
+
+    from sparktide.llm import html_text
+
+    rng = random.Random(5)
+    shared = [" ".join(f"s{k}x{j}" for j in range(rng.randint(8, 30))) for k in range(6)]
+    rows, words = [], {}
+    for k in range(30):
+        parts = [" ".join(f"w{k}x{j}x{i}" for j in range(rng.randint(9, 20))) for i in range(4)]
+        parts.insert(2, shared[rng.randrange(6)])
+        rows.append((k, f"http://h{k % 3}.org/{k}", f"<nav>{shared[k % 2]}</nav><article>{''.join(f'<p>{p}' for p in parts)}</article>"))
+        words[k] = [" ".join(parts).split(), shared[k % 2].split()]
+    rows += [(k + 100, *rows[k][1:]) for k in range(3)] + [rows[4]]  # copies are one page
+
+    def strings(k):
+        return {tuple(run[i : i + 8]) for run in words[k] for i in range(len(run) - 7)}
+
+    want = {}
+    for k in range(30):
+        other = set().union(*(strings(x) for x in range(30) if x != k and x % 3 == k % 3))
+        main = words[k][0]
+        gone = {i + j for i in range(len(main) - 7) if tuple(main[i : i + 8]) in other for j in range(8)}
+        want[k] = " ".join(w for i, w in enumerate(main) if i not in gone)
+    want |= {k + 100: want[k] for k in range(3)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for known, held, array in ((html_text.KNOWN, html_text.HELD, html_text.ARRAY), (0, 50, 60)):
+        for name, value in (("KNOWN", known), ("HELD", held), ("ARRAY", array)):
+            monkeypatch.setattr(html_text, name, value)
+        got = html_text.main_texts(pages).collect()
+        assert len(got) == len(rows) and all(r.text == want[r.row.page_id] for r in got)
+
+
 def test_repeated_strings_by_brute_force():
     from sparktide.llm.html_text import LONG, repeated_strings
 
