@@ -75,10 +75,11 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label, self.paths = spark, label, {}
 
-    def table(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, *partition_by: str, level: int = 3) -> DataFrame:
         path = new_path(self.spark, f"{self.label}-{name}")
         schema = df.schema
         writer = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+        writer = writer.option("parquet.compression.codec.zstd.level", str(level))
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)

@@ -46,6 +46,8 @@ LONG, ARRAY, COPY = 8, 500_000, 0.6
 SLICE, HELD, NAMED = 500, 1 << 21, 4_000_000
 #: Names of strings that can repeat up to this number are broadcast (8 bytes each); beyond it they are joined.
 KNOWN = 8_000_000
+#: Bytes of the places to cut that are broadcast; with more, the texts are shuffled.
+PLACES = 64 << 20
 
 RAW = "script|style|noscript|template|iframe|object|svg|select|textarea|title|button|xmp"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S | re.I)
@@ -312,7 +314,7 @@ STREAM = "host string, content long, size int, mains int, starts array<int>, len
 def _repeating(shared, bits: int):
     """The runs of words that strings with names in ``shared`` cover (strings at
     ``hits`` where that is None), of each row with such strings: ``mains`` runs of
-    the main text, then of what was left out."""
+    the main text, then of what was left out. A word is 32 bits of its hash."""
 
     @lean
     def run(batches):
@@ -342,7 +344,7 @@ def _repeating(shared, bits: int):
             rows, head = np.unique(of // 2, return_index=True)
             cuts = list(zip(head.tolist(), [*head[1:].tolist(), len(of)]))
             small = pa.list_(pa.int32())
-            data = [np.concatenate([hashes[x:y] for x, y in zip(start[a:b].tolist(), stop[a:b].tolist())]).astype("<u8").tobytes() for a, b in cuts]
+            data = [np.concatenate([hashes[x:y] for x, y in zip(start[a:b].tolist(), stop[a:b].tolist())]).astype("<u4").tobytes() for a, b in cuts]
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -362,10 +364,8 @@ def _streams(parsed: DataFrame, ws: Workspace) -> DataFrame:
     total = pages.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)) + F.length("others"))).first()[0] or 0
     bits = min(64, max(8, int(total // 4).bit_length() + 8))  # a name of one page is like another's about once in 256 times
     buckets = max(0, (int(total // 4) // NAMED).bit_length())
-    sketch = ws.table(pages.mapInArrow(_sketch(bits, buckets), "bucket long, n int, names binary, several binary"), "sketch")
-    tidy(spark)
+    sketch = pages.mapInArrow(_sketch(bits, buckets), "bucket long, n int, names binary, several binary")
     known = ws.table(sketch.groupBy("bucket").applyInArrow(_several(bits, buckets), "names array<long>"), "known")
-    ws.drop("sketch")
     tidy(spark)
     size = known.agg(F.coalesce(F.sum(F.size("names")), F.lit(0))).first()[0]
     if size <= KNOWN:
@@ -388,7 +388,7 @@ def _arrays(table: pa.Table) -> pa.Table:
     string's name and number of pages; with one page, its places in the main text."""
     table = table.sort_by("content")
     contents, once, page_of = np.unique(table.column("content").to_numpy(), return_index=True, return_inverse=True)
-    hashes = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("words").to_pylist()])
+    hashes = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("words").to_pylist()]).astype(np.uint64)
     starts, lengths = (table.column(c).to_pylist() for c in ("starts", "lengths"))
     # Page by page; of rows with equal main texts the first one's main text counts.
     runs = [(p, s if k < mains and r == first else -1, n if k >= mains or r == first else 0) for r, (p, first, mains) in enumerate(zip(page_of.tolist(), once[page_of].tolist(), table.column("mains").to_pylist())) for k, (s, n) in enumerate(zip(starts[r], lengths[r]))]
@@ -475,9 +475,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in others))
     base = pages.select(row.alias("row"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     schema = base.select("row").schema.add("host", "string").add("content", "long").add("texts", _ddl("array<string>")).add("others", "string")
-    parsed = ws.table(base.mapInArrow(_parse, schema).withColumn("rid", F.monotonically_increasing_id()), "parsed")
-    streams = ws.table(_streams(parsed, ws), "streams")
-    hosts = streams.groupBy("host").agg(F.ceil(F.sum(F.octet_length("words")) / 8 / ARRAY).alias("arrays"))
+    parsed = ws.table(base.mapInArrow(_parse, schema).withColumn("rid", F.monotonically_increasing_id()), "parsed", level=9)
+    streams = ws.table(_streams(parsed, ws), "streams", level=9)
+    hosts = streams.groupBy("host").agg(F.ceil(F.sum(F.octet_length("words")) / 4 / ARRAY).alias("arrays"))
     dealt = streams.join(hosts, "host").withColumn("part", F.pmod("content", "arrays"))
     found = ws.table(dealt.groupBy("host", "part").applyInArrow(_arrays, HITS), "found")
     ws.drop("streams", "known", "places")
@@ -498,6 +498,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     copies = copies.join(common, "name", "left_semi").groupBy("content").agg(F.collect_list("at").alias("at"))
     hits = ws.table(hits.where("own").select("content", "at").unionByName(copies), "gone")
     ws.drop("hits")
+    rows, places = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    if 32 * rows + 4 * places <= PLACES:
+        hits = F.broadcast(hits)
     out = parsed.select("row", "content", "texts").join(hits.select("content", "at"), "content", "left")
     return out.select("row", "texts", "at").mapInArrow(_extract, base.select("row").schema.add("text", "string"))
 
