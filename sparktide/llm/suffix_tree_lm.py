@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace, lean, read_table, small_batches, tidy
+from ._common import Workspace, lean, read_table, small_batches, tidy, trim
 from ._words import coded, string_array, words
 
 DEPTH, DIVERGENCE, LEAST_COUNT = 6, 4.0, 8
@@ -41,9 +41,11 @@ ADDITIVE = 0.5
 STRETCH = 512
 #: Documents of a block, documents laid out as bytes at a time, and grams held before they are handed on.
 BLOCK_ROWS, PART_ROWS, HELD = 2000, 200, 1 << 21
+#: Documents of which the distinct grams are scored at a time.
+SCORED_ROWS = 1000
 #: Cells of the largest automaton (8 bytes each) that is broadcast: its states, about as
 #: many as contexts, times its symbols. A larger tree is scored in parts of at most
-#: about PART_GRAMS counts (20 bytes each), one after the other.
+#: about PART_GRAMS counts (16 bytes each), one after the other.
 CELLS, PART_GRAMS = 8_000_000, 6_000_000
 END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 
@@ -257,40 +259,52 @@ def _scores(shared):
     return run
 
 
-@dataclass
 class Sparse:
     """A part of a tree that is too large for an automaton: for each context length
-    the contexts in order, their totals and numbers of symbols, the grams in order
-    and their counts."""
+    the grams in order and their counts. Contexts, their totals and numbers of
+    symbols follow from them, in the worker that scores."""
+
+    def __init__(self, part: int, parts: int, levels: list[tuple[np.ndarray, np.ndarray]]):
+        self.part, self.parts, self.levels = part, parts, levels
+        self.contexts: list[tuple[np.ndarray, ...]] = []
 
-    part: int
-    parts: int
-    levels: list[tuple[np.ndarray, ...]]
+    def _contexts(self):
+        for gram, n in self.levels if not self.contexts else ():
+            ctx = gram >> 8
+            head = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
+            total = np.add.reduceat(n.astype(np.float64), head) if len(head) else np.zeros(0)
+            self.contexts.append((ctx[head], total, np.diff(np.append(head, len(ctx))).astype(np.float32)))
+        return self.contexts
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Log10 probability of the last symbol of each (DEPTH + 1)-gram."""
-        p = None
-        for k, (contexts, total, spread, own, times) in enumerate(self.levels):
-            at = np.minimum(np.searchsorted(own, gram := keys & ((1 << 8 * (k + 1)) - 1)), max(0, len(own) - 1))
-            n = np.where(own[at] == gram, times[at], 0) if len(own) else np.zeros(len(keys))
-            if p is None:
-                p = (n + ADDITIVE) / (times.sum() + ADDITIVE * SYMBOLS)
-            elif len(contexts):
-                at = np.minimum(np.searchsorted(contexts, c := gram >> 8), len(contexts) - 1)
-                p = np.where(contexts[at] == c, (n + spread[at] * p) / (total[at] + spread[at]), p)
+        """Log10 probability of the last symbol of each (DEPTH + 1)-gram. A context
+        is there only if its suffixes are, so each level looks at what is left."""
+        p, left = np.zeros(len(keys)), np.arange(len(keys))
+        for k, ((own, times), (contexts, total, spread)) in enumerate(zip(self.levels, self._contexts())):
+            gram = keys[left] & ((1 << 8 * (k + 1)) - 1)
+            if k:
+                if not len(contexts):
+                    break
+                at = np.minimum(np.searchsorted(contexts, gram >> 8), len(contexts) - 1)
+                hit = contexts[at] == gram >> 8
+                left, gram, at = left[hit], gram[hit], at[hit]
+            place = np.minimum(np.searchsorted(own, gram), max(0, len(own) - 1))
+            n = np.where(own[place] == gram, times[place], 0) if len(own) else np.zeros(len(gram))
+            p[left] = (n + spread[at] * p[left]) / (total[at] + spread[at]) if k else (n + ADDITIVE) / (times.sum() + ADDITIVE * SYMBOLS)
         return np.log10(p)
 
 
-def sparse(part: int, parts: int, k: np.ndarray, ctx: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> Sparse:
-    levels = []
+def sparse(rows: DataFrame, part: int, parts: int) -> Sparse:
+    """A part of the tree, collected level by level: 16 bytes a count."""
+    levels, mine = [], (F.col("k") < 2) | (part_of(F.col("ctx"), parts) == part)
     for level in range(DEPTH + 1):
-        rows = k == level
-        gram = ctx[rows] << 8 | symbol[rows]
+        own = rows.where(mine & (F.col("k") == level)).select(F.shiftleft("ctx", 8).bitwiseOR(F.col("symbol")).alias("gram"), "n").toArrow()
+        gram, n = own.column("gram").to_numpy(), own.column("n").to_numpy()
+        del own
         order = np.argsort(gram)
-        gram, times = gram[order], n[rows][order].astype(np.float64)
-        contexts, head = np.unique(gram >> 8, return_index=True)
-        total = np.add.reduceat(times, head) if len(head) else times
-        levels.append((contexts, total, np.diff(np.append(head, len(gram))).astype(np.float64), gram, times))
+        levels.append((gram[order], n[order]))
+        del gram, n, order
+        trim()
     return Sparse(part, parts, levels)
 
 
@@ -305,8 +319,8 @@ def _part_scores(shared):
     def run(batches):
         model = shared.value
         for whole in batches:
-            for a in range(0, whole.num_rows, PART_ROWS):
-                batch = whole.slice(a, PART_ROWS)
+            for a in range(0, whole.num_rows, SCORED_ROWS):
+                batch = whole.slice(a, SCORED_ROWS)
                 data, starts = stream(*words(string_array(batch.column("text"))))
                 keys = np.zeros(max(0, len(data) - DEPTH), np.int64)
                 for j in range(DEPTH + 1):
@@ -340,6 +354,7 @@ def tree(counts: DataFrame, ws: Workspace, contexts: int | None = None) -> DataF
         each = each.where(F.col("total") >= (LEAST_COUNT if k else 0)).select(F.lit(k).alias("k"), "ctx", "total", F.inline("own"))
         levels = each if levels is None else levels.unionByName(each)
     levels = ws.table(levels, "levels")
+    tidy(counts.sparkSession)
     lower = levels.select((F.col("k") + 1).alias("k"), F.col("gram").alias("g"), F.col("n").alias("m"), F.col("total").alias("t"))
     both = levels.where("k > 0").withColumn("g", _cut(F.col("gram"), "k")).join(lower, ["k", "g"])
     gain = F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log(F.col("m") / F.col("t"))))
@@ -373,8 +388,7 @@ def _scored(base: DataFrame, rows: DataFrame) -> DataFrame:
         return base.mapInArrow(_scores(shared), ", ".join([*keep, "score double"]))
     parts, each = -(-size // PART_GRAMS), None
     for part in range(parts):
-        own = rows.where((F.col("k") < 2) | (part_of(F.col("ctx"), parts) == part))
-        shared = spark.sparkContext.broadcast(sparse(part, parts, *_arrays(own)))
+        shared = spark.sparkContext.broadcast(sparse(rows, part, parts))
         found = base.select("dk", "text").mapInArrow(_part_scores(shared), "dk long, score double").withColumn("part", F.lit(part))
         each = found if each is None else each.unionByName(found)
     # Repeated rows have equal scores.
@@ -396,7 +410,9 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("dk", F.xxhash64("doc_id", "text"))
     found = ws.table(base.select("dk", "train", "text").mapInArrow(_survey, "block long, word long, pos int, n long, gram long, blob binary"), "survey")
-    rows = tree(ws.table(found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams"), ws, contexts)
+    counts = ws.table(found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    tidy(spark)
+    rows = tree(counts, ws, contexts)
     ws.drop("grams")
     tidy(spark)
     word = found.where("word is not null")
