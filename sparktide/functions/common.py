@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import math
 
-from ..plans.expr import E, cum, fn, greatest, lag, least, linear, roll, row, sqrt, when, wrap, wsum
+from ..plans.expr import E, cum, fn, greatest, lag, least, linear, roll, row, sign, sqrt, when, wrap, wsum
 
 
 def sma(x, n: int) -> E:
     return roll("avg", x, n)
 
 
+def signed(x, initial=None) -> E:
+    """Sign of the step from the row before; ``initial`` on the first row."""
+    return when(row().eq(1), initial, sign(wrap(x).diff()))
+
+
 def ema(x, n: int, seeded: bool = True) -> E:
     """Seeded by the mean of the first n values, or else by the first value."""
     x = wrap(x)

@@ -184,7 +184,8 @@ def tsignals(trend: E, asbool=False, trend_reset=0, trade_offset=0):
 
 @op(CAT)
 def ttm_trend(high, low, close, length=6):
-    return {f"TTM_TRND_{length}": when(close > sma(c.hl2(high, low), length), 1, when(sma(c.hl2(high, low), length).notnull(), -1))}
+    # Rows before the first mean count as below it.
+    return {f"TTM_TRND_{length}": when(close > sma(c.hl2(high, low), length), 1, -1)}
 
 
 @op(CAT)

@@ -132,7 +132,7 @@ def true_range(high, low, close, drift=1):
 def ui(close, length=14, scalar=100, everget=False):
     top = roll("max", close, length)
     d = scalar * (close - top) / top
-    return {f"UI{'e' if everget else ''}_{length}": sqrt(sma(d * d, length) if everget else roll("sum", d * d, length) / length)}
+    return {f"UI{'e' if everget else ''}_{length}": sqrt((sma(d * d, length) if everget else roll("sum", d * d, length)) / length)}
 
 
 _ = cum

@@ -63,7 +63,7 @@ def eom(high, low, close, volume, length=14, divisor=100000000, drift=1):
 
 @op(CAT)
 def kvo(high, low, close, volume, fast=34, slow=55, signal=13, mamode="ema"):
-    flow = volume * sign(c.hlc3(high, low, close).diff())
+    flow = volume * c.signed(c.hlc3(high, low, close), 1)
     value = c.ma(mamode, flow, fast) - c.ma(mamode, flow, slow)
     return {f"KVO_{fast}_{slow}_{signal}": value, f"KVOs_{fast}_{slow}_{signal}": c.ma(mamode, value, signal)}
 

@@ -340,6 +340,20 @@ class Planner:
             return F.first(args[0]).over(w.rowsBetween(Window.unboundedPreceding, 0))
         raise ValueError(e.op)
 
+    def read(self, roots: Iterable[E]) -> list[E]:
+        """The columns, given or computed so far, that the nodes read."""
+        out, stack, seen = [], list(roots), set()
+        while stack:
+            e = stack.pop()
+            if e.key in seen:
+                continue
+            seen.add(e.key)
+            if e.key in self.names or e.op == "col":
+                out.append(e)
+            else:
+                stack.extend(e.args)
+        return out
+
     def plan(self, outputs: dict[str, E], keep: list[str]) -> DataFrame:
         """``keep`` and the outputs; one select per level, one grouped map per level with recursions."""
         nodes = walk(outputs.values())
@@ -357,6 +371,11 @@ class Planner:
                 inputs = {a.key: a for e in recs for a in e.args}
                 named = {k: f"_x{len(self.names)}_{i}" for i, k in enumerate(inputs)}
                 wide = df.select("*", *(self.column(a).cast("double").alias(named[k]) for k, a in inputs.items()))
+                # Only what is still read goes through the map.
+                later = [*outputs.values(), *(a for e in nodes.values() if e.level >= level and e not in recs for a in e.args)]
+                used = {e.key: e for e in self.read(later)}
+                read = {self.names[k] if k in self.names else e.params[0] for k, e in used.items() if k in self.names or e.op == "col"}
+                wide = wide.select(*(f"`{c}`" for c in wide.columns if c in read or c in named.values() or c in keep or c in self.by or c in self.ts))
                 steps = [(f"_r{len(self.names) + i}", e.params[0], e.params[1], dict(e.params[2]) if len(e.params) > 2 else {}, [named[a.key] for a in e.args]) for i, e in enumerate(recs)]
                 df = grouped(wide, self.by, self.ts, steps, list(named.values()))
                 self.names |= {e.key: s[0] for e, s in zip(recs, steps)}
