@@ -7,13 +7,14 @@ parses headers first, and skips the payload of every record that a filter
 turns away: it is neither decoded nor copied. With ``payload=false`` no payload
 is decoded at all.
 
-Each record is a gzip member of its own, so an archive can be cut or read from
-any record. Paths: local (``file:``) or any file system that pyarrow opens.
+Each record is a gzip member of its own and its header tells the member's length,
+so unwanted payloads are not even inflated. Paths: local (``file:``) or any file system that pyarrow opens.
 """
 
 from __future__ import annotations
 
 import io
+import struct
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -33,6 +34,8 @@ HEADERS = {
 LONGS = {"page_id", "payload_bytes", "refers_to"}
 COLUMNS = [*HEADERS, "payload"]
 LEVEL = 4
+#: Packed bytes that are inflated at first: enough for a record's headers.
+HEAD = 1024
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -50,38 +53,78 @@ def encode(row: dict) -> bytes:
     if row.get("record_type") == "revisit":
         head.append(f"WARC-Profile: {REVISIT}")
     data = ("WARC/1.1\r\n" + "\r\n".join(head) + f"\r\nContent-Length: {len(payload)}\r\n\r\n").encode("utf-8", "surrogatepass") + payload + b"\r\n\r\n"
-    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return z.compress(data) + z.flush()
+    z = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush() + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    size = 24 + len(body)
+    if max(size, len(data)) >= 1 << 32:
+        return b"\x1f\x8b\x08\x00\0\0\0\0\x00\xff" + body
+    return b"\x1f\x8b\x08\x04\0\0\0\0\x00\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(data)) + body
+
+
+def skip_length(head: bytes) -> tuple[int, int] | None:
+    """Sizes of a gzip member, packed and not, by the field ``sl`` of its header
+    (annex D of the WARC standard); None without such a field."""
+    at, end = 12, 12 + int.from_bytes(head[10:12], "little")
+    while at + 4 <= end:
+        name, n = head[at : at + 2], int.from_bytes(head[at + 2 : at + 4], "little")
+        if name == b"sl" and n == 8:
+            return struct.unpack("<II", head[at + 4 : at + 12])
+        at += 4 + n
+    return None
 
 
 def records(data: io.RawIOBase, wanted, payload: bool, chunk: int = 1 << 20):
     """Rows of a gzip or plain archive as tuples of COLUMNS.
 
-    ``wanted(row)`` judges the parsed headers; a record that it turns away is
-    passed over without building its payload.
+    ``wanted(row)`` judges the parsed headers. Of a record that it turns away the
+    payload is not inflated if the gzip member tells its length (field ``sl``), and
+    else passed over without being built.
     """
-    first = data.read(2)
-    source = [first]
+    raw = bytearray(data.read(2))
+    packed = raw == b"\x1f\x8b"
+    size, skipping = None, False  # of the member that is read, not packed; whether the rest of it goes unread
+
+    def need(n: int) -> bool:
+        while len(raw) < n:
+            block = data.read(chunk)
+            if not block:
+                return False
+            raw.extend(block)
+        return True
 
-    def more() -> bytes:
-        return source.pop() if source else data.read(chunk)
+    def drop(n: int) -> None:
+        nonlocal raw
+        while n > len(raw):
+            n -= len(raw)
+            raw = bytearray(data.read(min(chunk, n)))
+            if not raw:
+                return
+        del raw[:n]
 
     def plain():
-        if first != b"\x1f\x8b":
-            while block := more():
-                yield block
-            return
-        z, block = zlib.decompressobj(31), more()
-        while block:
-            out = z.decompress(block)
-            if out:
-                yield out
-            if z.eof:
-                block = z.unused_data
-                z = zlib.decompressobj(31)
-                block = block or more()
-            else:
-                block = more()
+        nonlocal size, skipping
+        while not packed and need(1):
+            out = bytes(raw)
+            raw.clear()
+            yield out
+        while packed and need(12):
+            sizes = None
+            if raw[3] & 4 and need(12 + int.from_bytes(raw[10:12], "little")):
+                sizes = skip_length(bytes(raw[: 12 + int.from_bytes(raw[10:12], "little")]))
+            size, skipping = sizes and sizes[1], False
+            z, done, step = zlib.decompressobj(31), 0, HEAD
+            while not z.eof and need(1):
+                block = bytes(raw[:step])
+                del raw[:step]
+                done, step = done + len(block), chunk
+                out = z.decompress(block)
+                raw[0:0] = z.unused_data
+                done -= len(z.unused_data)
+                if out:
+                    yield out
+                if skipping:
+                    drop(sizes[0] - done)
+                    break
 
     blocks, buffer = plain(), bytearray()
 
@@ -122,7 +165,11 @@ def records(data: io.RawIOBase, wanted, payload: bool, chunk: int = 1 << 20):
         if row["payload_digest"]:
             row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
         if not wanted(row):
-            skip(length + 4)
+            if size == end + length + 8:  # the member holds this record alone
+                skipping = True
+                buffer.clear()
+            else:
+                skip(length + 4)
         elif payload:
             fill(length + 4)
             yield (*(row[c] for c in HEADERS), bytes(buffer[:length]))
@@ -266,21 +313,24 @@ def archive_records(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "2
 
     Of pages with equal payloads of at least ``min_revisit_bytes`` the one with
     the smallest page_id is the response. A null html counts as empty, a null
-    url gives no target. Pages with the same id keep a record each, told apart
-    by a hidden row number; only the first of them is the response. A null
-    page_id never wins over a number. Other columns are ignored.
+    url gives no target. Rows with the same id, or none, keep a record each, told
+    apart by a hidden row number; only the first of equal rows is the response. A
+    null page_id never wins over a number. Texts of any length and an empty table
+    are fine. Other columns are ignored.
     """
     ws = Workspace(pages.sparkSession, "warc")
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), payload.alias("payload"))
-    rows = slim.select("*", base32_sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    ids = ws.table(rows.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= min_revisit_bytes), "ids")
-    first = ws.table(ids.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    # Written once, so that a row keeps its number when a task runs again.
+    rows = ws.table(slim.select("*", base32_sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("rid")), "rows")
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid")).alias("first")
+    first = rows.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest").agg(least, F.count("*").alias("n")).where("n > 1")
+    first = ws.table(first.select("payload_digest", F.col("first.page_id").alias("first"), F.col("first.rid").alias("first_rid")), "first")
     # The rows of a hot digest are split by Spark's skew join: both sides are plain shuffles.
     same = rows.join(first, "payload_digest", "left")
-    own = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
+    own = F.col("first_rid").isNull() | (F.col("rid") == F.col("first_rid"))
     return same.select(
-        F.when(own, "response").otherwise("revisit").alias("record_type"), F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.substring(F.md5(F.concat_ws("|", "page_id", "payload_digest")), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">")).alias("record_id"),
+        F.when(own, "response").otherwise("revisit").alias("record_type"), F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.substring(F.md5(F.concat_ws("|", "page_id", "payload_digest", "rid")), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">")).alias("record_id"),
         "target_uri", F.lit(date).alias("date"), "page_id", "payload_digest", "payload_bytes", F.when(~own, F.col("first")).alias("refers_to"), F.lit("text/html").alias("content_type"),
         F.when(own, F.col("payload")).otherwise(F.lit(b"")).alias("payload"),
     )

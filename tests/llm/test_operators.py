@@ -435,6 +435,34 @@ def test_warc(spark, tmp_path):
     assert read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_of_repeated_rows(spark, tmp_path):
+    """One response for equal rows and for rows without an id; record ids are unique."""
+    from sparktide.llm.warc import read_warc, write_warc
+
+    rows = [(1, "u", "same"), (1, "u", "same"), (1, "v", "same"), (None, "n", "none"), (None, "n", "none"), (9, "n", "none")]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/repeated")
+    got = read_warc(spark, f"file://{tmp_path}/repeated").collect()
+    kinds = sorted((r.payload_digest, r.record_type, r.page_id or 0, r.refers_to or 0) for r in got)
+    same, none = sorted({k[0] for k in kinds}, key=lambda d: d != base64.b32encode(hashlib.sha1(b"same").digest()).decode())
+    assert sorted(kinds) == sorted([(same, "response", 1, 0), (same, "revisit", 1, 1), (same, "revisit", 1, 1), (none, "response", 9, 0), (none, "revisit", 0, 9), (none, "revisit", 0, 9)])
+    assert len({r.record_id for r in got}) == len(rows)
+
+
+def test_unwanted_payloads_are_not_inflated():
+    import io
+    import random
+
+    from sparktide.llm.warc import encode, records
+
+    noise = random.Random(1).randbytes(60000)
+    data = [encode({"record_type": "response" if k % 2 else "revisit", "page_id": k, "payload": noise}) for k in range(4)]
+    broken = bytearray(data[2])
+    broken[5000:5400] = b"?" * 400  # nobody sees it
+    for chunk in (700, 1 << 20):
+        got = list(records(io.BytesIO(b"".join([data[0], data[1], bytes(broken), data[3]])), lambda r: r["record_type"] == "response", True, chunk=chunk))
+        assert [r[4] for r in got] == [1, 3] and all(r[-1] == noise for r in got)
+
+
 def test_unwanted_payloads_are_skipped():
     import io
 
