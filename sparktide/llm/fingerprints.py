@@ -119,17 +119,17 @@ def _pairs(batches):
 
 def _ranges(bounds: list, before: dict):
     """``[range]`` of an id, or ``[range, the range before]`` if it is a range's first."""
-    cuts = np.array(bounds)
+    cuts = np.array(bounds, np.int64)
 
+    # Without nulls, so that large ids stay whole numbers.
     @F.pandas_udf("array<int>")
-    def ranges(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        place = np.zeros(len(ids), np.int64)
-        place[known] = np.searchsorted(cuts, ids[known].astype("int64").to_numpy(), side="right")
-        keys = [int(i) if k else None for i, k in zip(ids, known)]
+    def ranges(ids: pd.Series, null: pd.Series) -> pd.Series:
+        unknown = null.to_numpy(bool)
+        place = np.where(unknown, 0, np.searchsorted(cuts, ids.to_numpy(np.int64), side="right") if len(cuts) else 0)
+        keys = [None if k else i for i, k in zip(ids.tolist(), unknown)]
         return pd.Series([np.array([p, before[i]] if i in before else [p], np.int32) for p, i in zip(place.tolist(), keys)])
 
-    return ranges
+    return lambda c: ranges(F.coalesce(c, F.lit(0)), F.col(c).isNull())
 
 
 def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -334,6 +335,42 @@ def test_fingerprints(spark, docs, doc_rows, empty):
     assert with_successors(empty).count() == 0
 
 
+def test_fingerprints_of_large_and_null_ids(spark):
+    """Ids beyond 2**53 beside null ids lose no row and meet their successors; fingerprints by brute force."""
+    from sparktide.llm import fingerprints as fp
+
+    ids = [None, None, *(2**53 + k for k in range(1, 60))]
+    texts = {i: f"w{k} w{k + 1} w{k % 7} some words of text {k}" for k, i in enumerate(ids[2:])}
+    rows = [(None, "a b"), (None, "a c"), *texts.items()]
+    got = fp.with_successors(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    order = ["a b", "a c", *(texts[i] for i in ids[2:])]
+    by_text = {}
+    for k, text in enumerate(order):
+        following = order[(k + 1) % len(order)]
+        half = len(text) // 2
+        by_text[(ids[k], hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest())] = text
+
+    def brute(text):
+        words = [np.uint64(xxhash.xxh3_64_intdigest(w)) for w in text.split()]
+        pairs = fp.kmers(np.array(words, np.uint64)).tolist()
+        seen, numbered = collections.Counter(), []
+        for x in pairs:
+            numbered.append(int(fp.mixed(np.array([(x + seen[x] * int(fp.STEP)) % 2**64], np.uint64))[0]))
+            seen[x] += 1
+        out = []
+        for xor, odd in zip(fp.XORS[:, 0].tolist(), fp.ODDS[:, 0].tolist()):
+            best = sorted(range(len(pairs)), key=lambda i: (numbered[i] ^ xor) * odd % 2**64)[: fp.PICK]
+            value = 0
+            for i in sorted(best):
+                value = int(fp.mixed(np.array([(value * int(fp.STEP) + pairs[i]) % 2**64], np.uint64))[0])
+            out.append(value >> 48)
+        return "".join(f"{v:04x}" for v in out)
+
+    for r in got:
+        assert r.fingerprint == brute(by_text[(r.doc_id, r.edited_sha256)])
+
+
 def test_order_counts():
     from sparktide.llm.fingerprints import likeness, sketch
 
