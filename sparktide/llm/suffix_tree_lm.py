@@ -325,11 +325,18 @@ def _part_scores(shared):
                 keys = np.zeros(max(0, len(data) - DEPTH), np.int64)
                 for j in range(DEPTH + 1):
                     keys = keys << 8 | data[j : j + len(keys)]
-                text = np.searchsorted(starts, np.arange(len(keys)) + DEPTH, side="right") - 1
-                # The end signs before the next text are no symbols of this one.
-                own = (np.arange(len(keys)) + DEPTH < starts[1:][text] - DEPTH) & (part_of(keys >> 8, model.parts) == model.part)
-                found, place = np.unique(keys[own], return_inverse=True)
-                score = np.bincount(text[own], model.log10(found)[place], minlength=batch.num_rows)
+                length = starts[1:] - DEPTH - starts[:-1]
+                text = np.repeat(np.arange(batch.num_rows, dtype=np.int32), length)
+                # The grams that end in a text; the end signs between texts are no symbols.
+                keys = keys[np.arange(len(text)) + np.repeat(starts[:-1] - DEPTH - (np.cumsum(length) - length), length)]
+                if model.parts > 1:
+                    own = part_of(keys >> 8, model.parts) == model.part
+                    keys, text = keys[own], text[own]
+                order = np.argsort(keys)
+                keys = keys[order]
+                head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+                each = np.repeat(model.log10(keys[head]), np.diff(np.append(head, len(keys))))
+                score = np.bincount(text[order], each, minlength=batch.num_rows)
                 yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(score)], names=["dk", "score"])
 
     return run
