@@ -85,3 +85,17 @@ def test_passages_of_51_words_go(spark, sf_dir):
     for i, t in rows:
         whole = t if i in (2, 3) else f"{own[2 * i]} \n{own[2 * i + 1]}"
         assert "".join(got[i].split()) == "".join(whole.split())
+
+
+def test_rows_without_an_id_are_judged_one_by_one(spark):
+    import corpus_pipeline
+    from sparktide.llm.decontaminate import decontaminated
+
+    text = " ".join(f"w{k}" for k in range(60))
+    other = "quite another text about rivers and hills and the long way home tonight"
+    rows = [(1, text), (None, text), (None, other), (2, text + " x"), (1, text), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
+    assert got == [(0, other), (1, text), (3, "")]
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)))], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontaminated(docs, items).collect()) == [(0, other), (3, "")]
