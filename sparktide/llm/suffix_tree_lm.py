@@ -259,10 +259,16 @@ def _scores(shared):
     return run
 
 
+def turned(ctx: np.ndarray, k: int) -> np.ndarray:
+    """Contexts of k bytes with their bytes turned round: the suffixes of a context
+    become its prefixes, so what is in order is so at each level."""
+    return (ctx.astype(np.int64).byteswap().view(np.uint64) >> np.uint64(64 - 8 * k)).view(np.int64) if k else ctx.astype(np.int64)
+
+
 class Sparse:
     """A part of a tree that is too large for an automaton: for each context length
-    the grams in order and their counts. Contexts, their totals and numbers of
-    symbols follow from them, in the worker that scores."""
+    the grams (turned context, symbol) in order and their counts. Contexts, their totals
+    and numbers of symbols follow from them, in the worker that scores."""
 
     def __init__(self, part: int, parts: int, levels: list[tuple[np.ndarray, np.ndarray]]):
         self.part, self.parts, self.levels = part, parts, levels
@@ -271,35 +277,48 @@ class Sparse:
     def _contexts(self):
         for gram, n in self.levels if not self.contexts else ():
             ctx = gram >> 8
-            head = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
+            head = heads(ctx)
             total = np.add.reduceat(n.astype(np.float64), head) if len(head) else np.zeros(0)
             self.contexts.append((ctx[head], total, np.diff(np.append(head, len(ctx))).astype(np.float32)))
         return self.contexts
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Log10 probability of the last symbol of each (DEPTH + 1)-gram. A context
-        is there only if its suffixes are, so each level looks at what is left."""
+        """Log10 probability of the last symbol of each gram; grams of DEPTH turned
+        bytes and a symbol, in order. A context is there only if its suffixes are, so
+        each level looks at what is left, and once for each of its contexts."""
         p, left = np.zeros(len(keys)), np.arange(len(keys))
+        context, symbol = keys >> 8, keys & 255
         for k, ((own, times), (contexts, total, spread)) in enumerate(zip(self.levels, self._contexts())):
-            gram = keys[left] & ((1 << 8 * (k + 1)) - 1)
             if k:
                 if not len(contexts):
                     break
-                at = np.minimum(np.searchsorted(contexts, gram >> 8), len(contexts) - 1)
-                hit = contexts[at] == gram >> 8
-                left, gram, at = left[hit], gram[hit], at[hit]
+                mine = context >> 8 * (DEPTH - k)
+                head = heads(mine)
+                at = np.minimum(np.searchsorted(contexts, mine[head]), len(contexts) - 1)
+                hit = contexts[at] == mine[head]
+                size = np.diff(np.append(head, len(mine)))
+                stays = np.repeat(hit, size)
+                left, context, symbol, at = left[stays], context[stays], symbol[stays], np.repeat(at[hit], size[hit])
+                gram = mine[stays] << 8 | symbol
+            else:
+                gram = symbol
             place = np.minimum(np.searchsorted(own, gram), max(0, len(own) - 1))
             n = np.where(own[place] == gram, times[place], 0) if len(own) else np.zeros(len(gram))
             p[left] = (n + spread[at] * p[left]) / (total[at] + spread[at]) if k else (n + ADDITIVE) / (times.sum() + ADDITIVE * SYMBOLS)
         return np.log10(p)
 
 
+def heads(run: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+
+
 def sparse(rows: DataFrame, part: int, parts: int) -> Sparse:
     """A part of the tree, collected level by level: 16 bytes a count."""
     levels, mine = [], (F.col("k") < 2) | (part_of(F.col("ctx"), parts) == part)
     for level in range(DEPTH + 1):
-        own = rows.where(mine & (F.col("k") == level)).select(F.shiftleft("ctx", 8).bitwiseOR(F.col("symbol")).alias("gram"), "n").toArrow()
-        gram, n = own.column("gram").to_numpy(), own.column("n").to_numpy()
+        own = rows.where(mine & (F.col("k") == level)).select("ctx", "symbol", "n").toArrow()
+        gram, n = turned(own.column("ctx").to_numpy(), level) << 8 | own.column("symbol").to_numpy(), own.column("n").to_numpy()
         del own
         order = np.argsort(gram)
         levels.append((gram[order], n[order]))
@@ -322,26 +341,51 @@ def _part_scores(shared):
             for a in range(0, whole.num_rows, SCORED_ROWS):
                 batch = whole.slice(a, SCORED_ROWS)
                 data, starts = stream(*words(string_array(batch.column("text"))))
-                keys = np.zeros(max(0, len(data) - DEPTH), np.int64)
-                for j in range(DEPTH + 1):
-                    keys = keys << 8 | data[j : j + len(keys)]
-                length = starts[1:] - DEPTH - starts[:-1]
-                text = np.repeat(np.arange(batch.num_rows, dtype=np.int32), length)
-                # The grams that end in a text; the end signs between texts are no symbols.
-                keys = keys[np.arange(len(text)) + np.repeat(starts[:-1] - DEPTH - (np.cumsum(length) - length), length)]
-                if model.parts > 1:
-                    own = part_of(keys >> 8, model.parts) == model.part
-                    keys, text = keys[own], text[own]
-                order = np.argsort(keys)
-                keys = keys[order]
-                head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
-                each = np.repeat(model.log10(keys[head]), np.diff(np.append(head, len(keys))))
-                score = np.bincount(text[order], each, minlength=batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(score)], names=["dk", "score"])
+                seen = np.flatnonzero(np.bincount(data, minlength=256))
+                bits = max(1, int(len(seen) - 1).bit_length())
+                rows = min(batch.num_rows, 1 << 64 - (DEPTH + 1) * bits)  # 256 or all
+                score = []
+                for b in range(0, batch.num_rows, rows):
+                    own = starts[b : b + rows + 1]
+                    score.append(part_scores(model, data[own[0] - DEPTH : own[-1]], own - own[0] + DEPTH, seen, bits))
+                yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(np.concatenate(score))], names=["dk", "score"])
 
     return run
 
 
+def part_scores(model: Sparse, data: np.ndarray, starts: np.ndarray, seen: np.ndarray, bits: int) -> np.ndarray:
+    """Log10 probability, under a part of a tree, of each text of the stream. A gram,
+    its bytes told by their place among those seen, and the number of its text share
+    one number of 64 bits, so that a plain sort brings equal grams together."""
+    texts = len(starts) - 1
+    code = np.zeros(256, np.uint64)
+    code[seen] = np.arange(len(seen))
+    codes = code[data]
+    keys = codes[DEPTH:].copy()
+    for j in range(DEPTH):
+        keys |= codes[j : j + len(keys)] << np.uint64(bits * (j + 1))
+    length = starts[1:] - DEPTH - starts[:-1]
+    text = np.repeat(np.arange(texts, dtype=np.uint64), length)
+    # The grams that end in a text; the end signs between texts are no symbols.
+    keys = keys[np.arange(len(text)) + np.repeat(starts[:-1] - DEPTH - (np.cumsum(length) - length), length)]
+    room = np.uint64(64 - (DEPTH + 1) * bits)
+    keys = keys << room | text
+    keys.sort()
+    packed = keys >> room
+    head = heads(packed)
+    packed, gram, byte = packed[head], np.zeros(len(head), np.int64), seen.astype(np.int64)
+    for j in range(DEPTH + 1):
+        gram |= byte[(packed >> np.uint64(bits * j) & np.uint64((1 << bits) - 1)).astype(np.int64)] << 8 * j
+    each = np.zeros(len(gram))
+    if model.parts > 1:
+        own = part_of(gram >> 8 * DEPTH | gram >> 8 * (DEPTH - 2) & 0xFF00, model.parts) == model.part
+        each[own] = model.log10(gram[own])
+    else:
+        each = model.log10(gram)
+    each = np.repeat(each, np.diff(np.append(head, len(keys))))
+    return np.bincount((keys & np.uint64((1 << int(room)) - 1)).astype(np.int64), each, minlength=texts)
+
+
 def _cut(column, level):
     """The last ``level`` bytes of a gram."""
     return column.bitwiseAND(F.expr(f"shiftleft(1L, 8 * ({level})) - 1"))

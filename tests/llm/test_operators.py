@@ -193,6 +193,36 @@ def test_trees_that_outgrow_a_broadcast_are_scored_in_parts(spark, docs, monkeyp
         assert parts[k] == pytest.approx(v, rel=1e-4)
 
 
+def test_parts_score_texts_of_many_bytes():
+    """More than 128 byte values leave room for 256 texts at a time; empty and long texts among them."""
+    import pyarrow as pa
+
+    from sparktide.llm import suffix_tree_lm as lm
+    from sparktide.llm._words import words as split
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.choice(np.r_[32:127, 161:700, 20000:20300], rng.integers(0, 40)))) for _ in range(600)]
+    texts[7], texts[300] = "", "ab " * 5000
+    data, starts = lm.stream(*split(pa.array(texts, pa.large_string())))
+    assert len(set(data.tolist())) > 128
+    counted = collections.defaultdict(collections.Counter)
+    for a, b in zip(starts[:-1], starts[1:] - lm.DEPTH):
+        for i in range(a, b):
+            for k in range(4):
+                counted[bytes(data[i - k : i])][int(data[i])] += 1
+    levels = []
+    for k in range(lm.DEPTH + 1):
+        own = sorted((int.from_bytes(c[::-1], "big") << 8 | x, n) for c, follow in counted.items() if len(c) == k for x, n in follow.items())
+        levels.append((np.array([g for g, _ in own], np.int64), np.array([n for _, n in own], np.int64)))
+
+    class Shared:
+        value = lm.Sparse(0, 1, levels)
+
+    batch = pa.RecordBatch.from_pydict({"dk": np.arange(600), "text": texts})
+    found = np.concatenate([b.column("score").to_numpy() for b in lm._part_scores(Shared)([batch])])
+    np.testing.assert_allclose(found, lm.log10_probabilities(lm.compiled(counted), data, starts), rtol=1e-4)
+
+
 # --- 4 ---
 
 
