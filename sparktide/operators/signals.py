@@ -51,11 +51,12 @@ def cross_value(a: E, value: float, up: bool = True, name: str = "a", asint: boo
 
 
 def signals(x: E, name: str, xa: float | None = None, xb: float | None = None, cross_values: bool = False, other: E | None = None, other_name: str = "b", cross_series: bool = False) -> dict[str, E]:
-    """The usual columns about thresholds and a second series."""
+    """The usual columns about thresholds and a second series. Crossings of a
+    threshold are told in both directions."""
     out: dict[str, E] = {}
-    for value, side, up in ((xa, above_value, True), (xb, below_value, False)):
+    for value, side in ((xa, above_value), (xb, below_value)):
         if value is not None:
-            out |= cross_value(x, value, up, name) if cross_values else side(x, value, name)
+            out |= cross_value(x, value, True, name) | cross_value(x, value, False, name) if cross_values else side(x, value, name)
     if other is not None:
         names = (name, other_name)
         out |= cross(x, other, True, names) | cross(x, other, False, names) if cross_series else above(x, other, names) | below(x, other, names)

@@ -123,12 +123,14 @@ def _tables() -> dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ..
 
         return TA(df, "sym", "d")._planned({"r": col("close") / back(col("close")) - 1, "b": col("open") / back(col("open")) - 1}, KEEP)
 
-    perf = f"""WITH s AS (SELECT sym, d, close AS x, max(close) OVER (PARTITION BY sym ORDER BY d ROWS UNBOUNDED PRECEDING) AS top, close / lag(close) {order} - 1 AS r FROM bars),
+    perf = f"""WITH s AS (SELECT sym, d, close AS x, max(close) OVER (PARTITION BY sym ORDER BY d ROWS UNBOUNDED PRECEDING) AS top, close / lag(close) {order} - 1 AS r, d > max(d) OVER (PARTITION BY sym) - INTERVAL 1095 DAY - INTERVAL 18 HOUR AS recent FROM bars),
+t AS (SELECT sym, d, x, max(x) OVER (PARTITION BY sym ORDER BY d ROWS UNBOUNDED PRECEDING) AS top FROM s WHERE recent),
+u AS (SELECT sym, (pow(arg_max(x, d) / arg_min(x, d), 252.0::DOUBLE / date_diff('day', min(d), max(d))) - 1) / max(1 - x / top) AS calmar FROM t GROUP BY sym),
 a AS (SELECT sym, arg_min(x, d) AS f, arg_max(x, d) AS l, date_diff('day', min(d), max(d)) / 252.0::DOUBLE AS years, max(top - x) AS dd, max(1 - x / top) AS ddp, max(ln(top) - ln(x)) AS ddl,
- avg(r) AS mean, stddev_samp(r) AS sd, sum(CASE WHEN r < 0 THEN r * r ELSE 0 END) AS down, count(r) AS m FROM s GROUP BY sym),
+ avg(r) AS mean, stddev_samp(r) AS sd, sum(CASE WHEN r < 0 THEN r * r ELSE 0 END) AS down, count(*) AS m FROM s GROUP BY sym),
 c AS (SELECT *, pow(l / f, 1 / years) - 1 AS cagr, sqrt(down / (m - 1) * (m / years)) AS downside FROM a)
-SELECT sym, cagr, dd AS max_drawdown, ddp AS max_drawdown_pct, ddl AS max_drawdown_log, ln(l / f) - ddl AS log_max_drawdown, cagr / ddp AS calmar_ratio, downside AS downside_deviation,
- 252 * mean / (sqrt(252.0::DOUBLE) * sd) AS sharpe_ratio, cagr / downside AS sortino_ratio, sqrt(m / years) * sd AS volatility, 252 * mean / (252 * sd * sd) AS optimal_leverage, 0.0::DOUBLE AS pure_profit_score FROM c"""
+SELECT sym, cagr, dd AS max_drawdown, ddp AS max_drawdown_pct, ddl AS max_drawdown_log, ln(l / f) - ddl AS log_max_drawdown, calmar AS calmar_ratio, downside AS downside_deviation,
+ 252 * mean / (sqrt(252.0::DOUBLE) * sd) AS sharpe_ratio, cagr / downside AS sortino_ratio, sqrt(m / years) * sd AS volatility, 252 * mean / (252 * sd * sd) AS optimal_leverage, 0.0::DOUBLE AS pure_profit_score FROM c JOIN u USING (sym)"""
     return {
         "performance_metrics": (lambda df: m.performance(df, by, "d"), ("sym",), 4, perf),
         "jensens_alpha": (lambda df: m.jensens_alpha(returns(df), by, "r", "b"), ("sym",), 6, f"SELECT sym, regr_intercept(r, b) AS jensens_alpha FROM ({change}) GROUP BY sym"),

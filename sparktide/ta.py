@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import functions as _functions  # noqa: F401  # registers the indicators
+from .operators import signals
 from .plans.expr import E, Planner, Writer, coalesce, col, lag, last_value, next_value
 from .plans.registry import OPS, Op, categories
 
@@ -18,6 +19,14 @@ from .plans.registry import OPS, Op, categories
 ROLES = {"open_": "open", "ts": None}
 #: Not part of the "all" and category strategies: they need further inputs or return other rows.
 NOT_IN_STRATEGIES = frozenset("long_run short_run tsignals xsignals beta correl add sub mult div mavp td_seq ma".split())
+#: Calls that take ``signal_indicators=True``: beginnings of the names of the results
+#: that signals are about, and the usual thresholds.
+OSCILLATOR = {"xa": 80, "xb": 20, "cross_values": False}
+WITH_SIGNALS: dict[str, dict[str, dict[str, Any]]] = {
+    "rsi": {"RSI_": OSCILLATOR}, "rsx": {"RSX_": OSCILLATOR}, "er": {"ER_": OSCILLATOR},
+    "macd": {"MACDh_": {"xa": 0, "xb": None, "cross_values": True}, "MACD_": {"xa": 0, "xb": None, "cross_values": False}},
+}
+SIGNAL_PARAMETERS = ("signal_indicators", "xa", "xb", "xserie", "xserie_a", "xserie_b", "cross_values", "cross_series")
 
 
 @dataclass
@@ -94,10 +103,31 @@ class TA:
             params.pop(name, None)
             if name not in given and name in ("high", "low") and any(params.get(x) for x in ("refined", "thirds")):
                 given[name] = self.column(name)
+        asked = {k: params.pop(k) for k in SIGNAL_PARAMETERS if k in params} if kind in WITH_SIGNALS else {}
         unknown = set(params) - set(op.defaults)
         if unknown:
             raise TypeError(f"{kind}: unknown parameters {sorted(unknown)}")
-        return finished(op.build(**given, **params), **post)
+        out = op.build(**given, **params)
+        if asked.pop("signal_indicators", False):
+            shift = {k: post.pop(k) for k in ("offset", "fillna", "fill_method") if k in post}
+            out = finished(out, **shift)
+            out |= self._signals(kind, out, shift.get("offset", 0), **asked)
+        return finished(out, **post)
+
+    def _signals(self, kind: str, out: dict[str, E], offset: int, xserie: Any = None, xserie_a: Any = None, xserie_b: Any = None, cross_series: bool = True, **asked: Any) -> dict[str, E]:
+        """Signal columns about a call's results: thresholds, and series if given. They
+        are told from the shifted results and shifted by the offset once more."""
+        found: dict[str, E] = {}
+        for nth, (start, usual) in enumerate(WITH_SIGNALS[kind].items()):
+            name = next(n for n in out if n.replace("MACDAS", "MACD").startswith(start))
+            own = usual | (asked if nth == 0 else {})  # thresholds given are those of the first
+            found |= signals.signals(out[name], name, **own)
+            for other, up in ((xserie if xserie_a is None else xserie_a, True), (xserie if xserie_b is None else xserie_b, False)):
+                if other is not None and nth == 0:
+                    names, series = (name, other if isinstance(other, str) else "series"), self.column(other)
+                    side = signals.above if up else signals.below
+                    found |= signals.cross(out[name], series, up, names) if cross_series else side(out[name], series, names)
+        return {n: lag(e, offset) if offset else e for n, e in found.items()}
 
     # --- results ---
 
