@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.bars import LINEITEM_DAILY_SQL, lineitem_daily
+from ..sources.bars import EVENTS_HOURLY_SQL, LINEITEM_DAILY_SQL, events_hourly, lineitem_daily
 from ..ta import TA
 from .expr import Unexpressed, Writer, col, roll, when
 from .registry import OPS
@@ -82,11 +82,13 @@ def _expressions() -> dict[str, dict]:
     rsi = c.rma(c.positive(close.diff()), 14)
     from ..ta import finished
 
+    ta = TA(_Names(), "sym", "d")  # type: ignore[arg-type]
     return {
         "above": s.above(close, open_, ("close", "open")), "below": s.below(close, open_, ("close", "open")), "above_value": s.above_value(close, 30000.5, "close"), "below_value": s.below_value(close, 30000.5, "close"),
         "cross": s.cross(fast, slow, True, ("sma5", "sma20")) | s.cross(fast, slow, False, ("sma5", "sma20")), "cross_value": s.cross_value(close, 30000.0, True, "close"), "crossover": {"CROSSOVER": s.cross(fast, slow)["a_XA_b"]},
         "signals": s.signals(rsi, "rma", 5000.0, 1000.0, True, fast, "sma5", True), "candle_color": {"color": s.candle_color(open_, close)},
         "offset_and_fill": finished({"SMA_5": fast}, offset=2, fillna=0.0, prefix="a") | finished({"SMA_20": slow}, fill_method="bfill", suffix="b") | finished({"MOM_3": close.diff(3)}, offset=-2, fill_method="ffill", col_names="momentum"),
+        **{f"{kind}_signals": ta.outputs(kind, signal_indicators=True, xserie="open") for kind in ("rsi", "macd", "er", "rsx")},
         "increasing_strict": OPS["increasing"].build(close, length=2, strict=True), "ppo_ema": OPS["ppo"].build(close, mamode="ema"), "bbands_dema": OPS["bbands"].build(close, length=10, mamode="dema"),
         "squeeze_lazybear": OPS["squeeze"].build(col("high"), col("low"), close, lazybear=True, detailed=True), "macd_asmode": OPS["macd"].build(close, asmode=True), "cpr_camarilla": OPS["cpr"].build(open_, col("high"), col("low"), close, method="camarilla", virgin_cpr=True),
         "cpr_fibonacci": OPS["cpr"].build(open_, col("high"), col("low"), close, method="fibonacci"), "cpr_woodie": OPS["cpr"].build(open_, col("high"), col("low"), close, method="woodie"), "vwap_month": OPS["vwap"].build(col("high"), col("low"), close, col("volume"), col("d"), anchor="M"),
@@ -165,6 +167,40 @@ def table_sql() -> dict[str, str]:
     return out
 
 
+#: Bars, their SQL and the longer period before which is told at each bar.
+PERIODS_BEFORE = {"month": (lineitem_daily, LINEITEM_DAILY_SQL), "quarter": (lineitem_daily, LINEITEM_DAILY_SQL), "day": (events_hourly, EVENTS_HOURLY_SQL)}
+BEFORE = {"prev_open": "po", "prev_high": "ph", "prev_low": "pl", "prev_close": "pc", "prev_volume": "pv"}
+LEVELS = {"CPR_TC": "2 * (ph + pl + pc) / 3 - (ph + pl) / 2", "CPR_PIVOT": "(ph + pl + pc) / 3", "CPR_BC": "(ph + pl) / 2", "CPR_R1": "2 * (ph + pl + pc) / 3 - pl", "CPR_S1": "2 * (ph + pl + pc) / 3 - ph"}
+
+
+def _before(unit: str, pivots: bool):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..operators import tables as t
+
+        bars = PERIODS_BEFORE[unit][0](spark, sf_dir)
+        out = t.pivots(bars, ["sym"], "d", "classic", unit) if pivots else t.previous_period(bars, ["sym"], "d", unit)
+        out = _rounded(out.select(*KEEP, *(LEVELS if pivots else BEFORE)), KEEP, 4)
+        return out.withColumn("d", F.date_format("d", "yyyy-MM-dd HH:mm:ss"))
+
+    return query
+
+
+def _before_sql(unit: str, pivots: bool) -> str:
+    shown_ = ", ".join(f'{shown_sql(x, 4)} AS "{name}"' for name, x in (LEVELS if pivots else BEFORE).items())
+    return f"""WITH bars AS MATERIALIZED ({PERIODS_BEFORE[unit][1]}),
+long AS (SELECT sym, date_trunc('{unit}', d) AS p, arg_min(open, d) AS o, max(high) AS h, min(low) AS l, arg_max(close, d) AS c, sum(volume) AS v FROM bars GROUP BY 1, 2),
+prev AS (SELECT sym AS psym, p, lag(o) OVER w AS po, lag(h) OVER w AS ph, lag(l) OVER w AS pl, lag(c) OVER w AS pc, lag(v) OVER w AS pv FROM long WINDOW w AS (PARTITION BY sym ORDER BY p))
+SELECT sym, strftime(d, '%Y-%m-%d %H:%M:%S') AS d, {shown_} FROM bars LEFT JOIN prev ON psym = sym AND p = date_trunc('{unit}', d)"""
+
+
+def before_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f"{name}_{unit}": _before(unit, pivots) for unit in PERIODS_BEFORE for name, pivots in (("previous_period", False), ("cpr_before", True))}
+
+
+def before_sql() -> dict[str, str]:
+    return {f"{name}_{unit}": _before_sql(unit, pivots) for unit in PERIODS_BEFORE for name, pivots in (("previous_period", False), ("cpr_before", True))}
+
+
 def _strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..ta import COMMON_STRATEGY
 
@@ -182,9 +218,9 @@ def _strategy_sql() -> str:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return indicator_queries() | {n: _expressed(n) for n in _expressions()} | {n: _table(n) for n in _tables()} | {"strategy_common": _strategy}
+    return indicator_queries() | {n: _expressed(n) for n in _expressions()} | {n: _table(n) for n in _tables()} | before_queries() | {"strategy_common": _strategy}
 
 
 def all_sql() -> dict[str, str]:
     own = {n: Writer(LINEITEM_DAILY_SQL, ["sym"], ["d"]).sql(e, list(KEEP), lambda x: shown_sql(x, DIGITS)) for n, e in _expressions().items()}
-    return indicator_sql() | own | table_sql() | {"strategy_common": _strategy_sql()}
+    return indicator_sql() | own | table_sql() | before_sql() | {"strategy_common": _strategy_sql()}

@@ -15,7 +15,8 @@ from sparktide.ta import COMMON_STRATEGY, TA, Strategy, custom
 DATA = "/root/testdata/sf0.001"
 CHECKED = (
     "sma ema rma wma hma dema t3 kama vidya linreg rsi macd ppo stoch adx atr bbands kc aroon dpo obv ad mfi vwap zscore median quantile beta correl drawdown msw ha cdl_engulfing cdl_harami "
-    "cdl_morningstar cdl_mathold td_seq edecay psl cci squeeze cpr performance_metrics vp tos_stdevall as_of_join previous_period cross signals offset_and_fill strategy_common"
+    "cdl_morningstar cdl_mathold td_seq edecay psl cci squeeze cpr performance_metrics vp tos_stdevall as_of_join previous_period cross signals offset_and_fill strategy_common "
+    "macd_signals previous_period_month cpr_before_quarter cpr_before_day"
 ).split()
 
 
@@ -24,7 +25,8 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{DATA}/lineitem.parquet'")
+    for name in ("lineitem", "events"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return con
 
 
