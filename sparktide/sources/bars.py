@@ -43,9 +43,10 @@ def resample(bars: DataFrame, by: list[str], ts: str, period: Column) -> DataFra
     )
 
 
-def write_bars(bars: DataFrame, path: str, by: list[str], format: str = "parquet", mode: str = "error") -> None:
-    """Bars as files, a key's rows together."""
-    bars.repartition(*by).sortWithinPartitions(*by).write.format(format).mode(mode).options(**({"header": "true"} if format == "csv" else {})).save(path)
+def write_bars(bars: DataFrame, path: str, by: list[str], format: str = "parquet", mode: str = "error", ts: str = "ts") -> None:
+    """Bars as files, a key's rows together and, where there is a column ``ts``, in its order."""
+    order = [*by, *([ts] if ts in bars.columns else [])]
+    bars.repartition(*by).sortWithinPartitions(*order).write.format(format).mode(mode).options(**({"header": "true"} if format == "csv" else {})).save(path)
 
 
 def year_to_date(df: DataFrame, ts: str) -> DataFrame:
